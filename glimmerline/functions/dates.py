@@ -34,13 +34,11 @@ def parse_iso(raw: Column) -> Column:
     """T-D1: strict ISO 8601 to UTC; no offset means UTC; anything else is null."""
     s = strip_ends(F.coalesce(raw, F.lit("")))
     s = F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    part = [F.regexp_extract(s, _ISO, g) for g in range(7)]
-    zone = (
-        F.when(part[6].isin("", "Z"), F.lit("+00:00"))
-        .when(F.length(part[6]) == 3, F.concat(part[6], F.lit(":00")))
-        .otherwise(F.regexp_replace(part[6], r"^(...):?(..)$", "$1:$2"))
-    )
-    return F.when(s.rlike(_ISO), _stamp(part[1], part[2], part[3], part[4], part[5], zone))
+    # complete the text so that the cast never depends on the session zone
+    full = F.regexp_replace(s, r"^(.{10})$", "$1T00:00:00Z")
+    full = F.regexp_replace(full, r"^(.{13})(Z|[+-].*)?$", "$1:00$2")
+    full = F.regexp_replace(full, r"^(.{11}[\d:.,]+)$", "$1Z")
+    return F.when(s.rlike(_ISO), F.replace(full, F.lit(","), F.lit(".")).try_cast("timestamp"))
 
 
 def parse_rfc2822(raw: Column) -> Column:

@@ -48,11 +48,11 @@ def head_fields(html: Column) -> Column:
 def _ld_blobs(html: Column, entities: bool) -> Column:
     """Texts of all valid ld+json scripts, in page order."""
     raw = F.regexp_extract_all(html, F.lit(LD_SCRIPT), F.lit(1))
-    texts = F.transform(raw, lambda b: drop_tags(_plain_entities(b) if entities else b))
+    texts = F.transform(raw, lambda b: drop_tags(plain_entities(b) if entities else b))
     return F.filter(texts, lambda b: (b != "") & F.try_parse_json(b).isNotNull())
 
 
-def _plain_entities(c: Column) -> Column:
+def plain_entities(c: Column) -> Column:
     from .text import COMMON_ENTITIES
 
     out = c
