@@ -37,6 +37,7 @@ def parse_iso(raw: Column) -> Column:
     # complete the text so that the cast never depends on the session zone
     full = F.regexp_replace(s, r"^(.{10})$", "$1T00:00:00Z")
     full = F.regexp_replace(full, r"^(.{13})(Z|[+-].*)?$", "$1:00$2")
+    full = F.regexp_replace(full, r"^(.{16})(Z|[+-].*)?$", "$1:00$2")
     full = F.regexp_replace(full, r"^(.{11}[\d:.,]+)$", "$1Z")
     return F.when(s.rlike(_ISO), F.replace(full, F.lit(","), F.lit(".")).try_cast("timestamp"))
 

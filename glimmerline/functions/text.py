@@ -39,8 +39,14 @@ def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 # fixed values: entities resolved without leaving the JVM (`&amp;` comes last)
-COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
-_RARE_ENTITY = r"&(?!(?:lt|gt|quot|#39|nbsp|amp);)[#A-Za-z]"
+COMMON_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
+    ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"), ("&bull;", "\u2022"),
+    ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&lsquo;", "\u2018"),
+    ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&laquo;", "\u00ab"),
+    ("&raquo;", "\u00bb"), ("&amp;", "&"),
+)
+_RARE_ENTITY = r"&(?!(?:" + "|".join(e[1:-1] for e, _ in COMMON_ENTITIES) + r");)[#A-Za-z]"
 
 
 def unescape(c: Column) -> Column:

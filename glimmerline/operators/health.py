@@ -20,13 +20,6 @@ def health_step(block_type: Column, success: Column) -> Column:
     )
 
 
-def apply_step(state: int, step: int) -> int:
-    """The score after one result."""
-    if step > 0:
-        return min(TOP, state + step)
-    return max(0, state + step) if step < 0 else state
-
-
 def _fold_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each source's stretch of a sorted partition as one clamped shift.
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.health import TOP, apply_step, health_step
+from ..operators.health import source_health
 from ..sources.store import upsert_table
 
 
@@ -36,35 +34,20 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-HEALTH_ROW = "source_id string, total_attempts long, total_successes long, anti_bot_score double"
-HEALTH_STATE = "attempts long, successes long, score long"
+def health_each(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Source health carried over micro-batches of (source_id, ts, pos, block_type, success).
 
+    A micro-batch is folded by the batch job, which splits a hot source over
+    tasks, on top of the rows of the previous version. The version is the batch
+    number, so a repeated batch writes the same table again.
+    """
 
-def fold_health(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-    """Carries the score of one source over the micro-batches.
+    def fold(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        start = spark.read.parquet(f"{table}/v={number:08d}") if number else None
+        source_health(batch, start).write.mode("overwrite").parquet(f"{table}/v={number + 1:08d}")
 
-    The rows of a source arrive in ten-thousand-row Arrow batches and are put
-    in time order by the small step tuples only.
-    """
-    attempts, successes, score = state.get if state.exists else (0, 0, 0)
-    steps: list[tuple] = []
-    for pdf in batches:
-        attempts += len(pdf)
-        successes += int(pdf["success"].sum())
-        steps += list(zip(pdf["ts"].tolist(), pdf["pos"].tolist(), pdf["step"].tolist()))
-    for _, _, step in sorted(steps):
-        score = apply_step(score, step)
-    state.update((attempts, successes, score))
-    yield pd.DataFrame([(key[0], attempts, successes, score / TOP)],
-                       columns=["source_id", "total_attempts", "total_successes", "anti_bot_score"])
-
-
-def stream_health(results: DataFrame) -> DataFrame:
-    """A stream of (source_id, ts, pos, block_type, success) to running health rows."""
-    steps = results.select("source_id", "ts", "pos", "success", health_step(F.col("block_type"), F.col("success")).alias("step"))
-    return steps.groupBy("source_id").applyInPandasWithState(
-        fold_health, HEALTH_ROW, HEALTH_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    return for_each(stream, fold, checkpoint)
 
 
 def upsert_each(stream: DataFrame, table: str, checkpoint: str, key: str, version: str) -> StreamingQuery:
