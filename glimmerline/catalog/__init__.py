@@ -1,6 +1,6 @@
 """All named queries. Importing a module registers its entries."""
 
-from . import columns  # noqa: F401
+from . import columns, stories  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
