@@ -29,6 +29,7 @@ def raw_records(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("pos"), F.col("source").alias("provider_id"), F.col("doc_id").cast("string").alias("external_id"),
         "text", F.col("lang").alias("language"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/"), "lang", F.lit("/item-"), short_hash(F.col("text"), 12)).alias("url"), day.alias("published_at"),
+        F.substring("text", 1, 60).alias("title"),
     )
 
 
@@ -97,7 +98,7 @@ def events_and_links(spark, folder):
       url AS canonical_urls, 'evi_' || doc AS evidence_ids, doc AS doc_ids, day AS day_bucket, 0.5::DOUBLE AS significance_score, 0.45::DOUBLE AS confidence,
       CASE WHEN x.risk THEN 'risk_event' WHEN x.opp THEN 'opportunity_event' WHEN x.comp THEN 'competition_event'
            WHEN x.adopt THEN 'adoption_event' WHEN x.research THEN 'research_publication' ELSE 'story_event' END AS event_type
-    FROM n, LATERAL (SELECT lower(title || ' ' || provider || ' ' || url || ' ' || url) AS t) y, LATERAL (SELECT
+    FROM n, LATERAL (SELECT lower(title || ' ' || provider || ' ' || url || ' ' || coalesce(nullif(substring(text, 1, 60), ''), url)) AS t) y, LATERAL (SELECT
       regexp_matches(y.t, 'outage|incident|breach|lawsuit|ban|fine|regulation|regulatory|security|safety|privacy|recall|vulnerability|cve|investigation') AS risk,
       regexp_matches(y.t, 'funding|partnership|partner|deal|acquisition|invest|investment|raised|expansion|win') AS opp,
       regexp_matches(y.t, 'benchmark|benchmarks|leaderboard|compare|comparison|competitor|competition|versus|vs|race|outperform|market-share') AS comp,
@@ -197,7 +198,7 @@ def copy_components(spark, folder):
 
 # --- scored stories over the star tables ----------------------------------------------------
 _PROFILE_SQL = """
-o AS (SELECT *, round(0.4 + ((o_custkey * 7 + o_orderkey) % 60) / 103.0::DOUBLE, 6) AS sig, 0.45 AS conf,
+o AS (SELECT *, round(0.40123 + ((o_custkey * 7 + o_orderkey) % 60) / 103.0::DOUBLE, 6) AS sig, 0.45 AS conf,
   ['risk', 'opportunity', 'competition', 'adoption', 'narrative', 'story'][(o_orderkey % 6 + 1)::INT] AS fam,
   CASE WHEN o_orderkey % 11 = 0 THEN ['w1', 'w2'] WHEN o_orderkey % 7 = 0 THEN ['w1'] ELSE [] END AS watch,
   CASE WHEN o_orderkey % 9 = 0 THEN ['ai:model_release'] WHEN o_orderkey % 13 = 0 THEN ['ai:risk'] ELSE [] END AS topics,
@@ -235,7 +236,7 @@ def order_profiles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     words = F.concat(F.lit("Item "), k.cast("string"))
     profiles = o.select(
         name("evt_", k).alias("event_id"), k.alias("pos"), "o_custkey",
-        F.round(0.4 + (F.col("o_custkey") * 7 + k) % 60 / 103.0, 6).alias("significance_score"), F.lit(0.45).alias("confidence"),
+        F.round(0.40123 + (F.col("o_custkey") * 7 + k) % 60 / 103.0, 6).alias("significance_score"), F.lit(0.45).alias("confidence"),
         words.alias("display_title"), words.alias("similarity_text"), F.lit("story_event").alias("event_type"),
         F.get(families, (k % 6).cast("int")).alias("event_family"), name("Customer ", F.col("o_custkey")).alias("subject"),
         F.array(name("s_", k % 5)).alias("source_ids"), F.array(name("evi_", k)).alias("evidence_ids"),
