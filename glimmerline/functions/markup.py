@@ -109,7 +109,7 @@ def with_html_dates(df: DataFrame, html: str = "html") -> DataFrame:
         {
             **{f"_m{i}": metas[label] for i, (label, _, _) in enumerate(PUBLISHED_METAS)},
             "_ld": F.when(h.contains("ld+json"), ld_dates(h)),
-            "_time": _first_date(F.transform(F.regexp_extract_all(h, F.lit(TIME_TAG), F.lit(1)), F.trim)),
+            "_time": _first_date(F.transform(F.regexp_extract_all(h, F.lit(TIME_TAG), F.lit(1)), lambda x: F.trim(x))),
             "_mod": meta_content(h, "property", "article:modified_time"),
             "_ogu": meta_content(h, "property", "og:updated_time"),
             "_last": meta_content(h, "name", "lastmod"),
