@@ -35,7 +35,7 @@ def feed_entries(payloads: DataFrame, body: str = "body") -> DataFrame:
     rss_items = F.transform(
         _xml(F.when(~atom, F.col(body)), RSS)["channel"]["item"],
         lambda e: F.struct(
-            e["title"].alias("title"), e["link"].alias("link"), e["guid"]["_VALUE"].alias("id"),
+            e["title"].alias("title"), e["link"].alias("link"), e["guid"]["_VALUE"].alias("entry_id"),
             e["pubDate"].alias("date"), e["description"].alias("summary"),
         ),
     )
@@ -47,7 +47,7 @@ def feed_entries(payloads: DataFrame, body: str = "body") -> DataFrame:
     atom_items = F.transform(
         _xml(F.when(atom, F.col(body)), ATOM)["entry"],
         lambda e: F.struct(
-            e["title"].alias("title"), href(e["link"]).alias("link"), e["id"].alias("id"),
+            e["title"].alias("title"), href(e["link"]).alias("link"), e["id"].alias("entry_id"),
             F.coalesce(e["published"], e["updated"]).alias("date"),
             first_nonempty(e["summary"], e["subtitle"]).alias("summary"),
         ),
@@ -73,7 +73,7 @@ def feed_candidates(payloads: DataFrame, max_items: int | Column = 30) -> DataFr
 def feed_records(payloads: DataFrame, max_items: int = 8) -> DataFrame:
     """Feed entries as raw records."""
     e = feed_entries(payloads).filter(F.col("item") < max_items)
-    external = first_nonempty(F.col("id"), F.col("link"), F.concat(F.lit("entry-"), F.col("item").cast("string")))
+    external = first_nonempty(F.col("entry_id"), F.col("link"), F.concat(F.lit("entry-"), F.col("item").cast("string")))
     title, summary = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))
     return e.withColumn("_ext", external).select(
         "provider_id", "item", F.substring("_ext", 1, 512).alias("external_id"),
@@ -131,7 +131,8 @@ def rest_candidates(payloads: DataFrame, max_items: int | Column = 50) -> DataFr
         *[F.when(F.get_json_object("body", f"$.{k}").startswith("["), F.get_json_object("body", f"$.{k}"))
           for k in ("items", "data", "results", "records", "entries")]
     )
-    named = F.get_json_object(F.col("body"), F.concat(F.lit("$."), F.col("items_path")))
+    at_path = lambda doc, path: F.call_function("get_json_object", doc, F.concat(F.lit("$."), path))
+    named = at_path(F.col("body"), F.col("items_path"))
     items = (
         F.when(F.coalesce("items_path", F.lit("")) != "", F.when(named.startswith("["), named))
         .when(F.ltrim("body").startswith("["), F.col("body"))
@@ -143,7 +144,7 @@ def rest_candidates(payloads: DataFrame, max_items: int | Column = 50) -> DataFr
 
     def field(name: str) -> Column:
         key = F.coalesce(F.col("field_map")[name], F.lit(name))
-        return F.get_json_object(F.col("row"), F.concat(F.lit("$."), key))
+        return at_path(F.col("row"), key)
 
     raw_url = field("url")
     link = F.coalesce(raw_url, *[F.get_json_object("row", f"$.{k}") for k in ("link", "href", "permalink", "webUrl")])
