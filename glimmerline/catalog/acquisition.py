@@ -513,7 +513,7 @@ def search_run(spark, folder):
     item = s('{"url":"https://site.example/', F.substring("monitor_id", 2, 20), '","title":"A longer title"}')
     body = F.when(F.col("provider") == "newsapi", s('{"articles":[', item, "]}")).when(F.col("provider") == "brave", s('{"web":{"results":[', item, "]}}")).otherwise(s('{"results":[', item, "]}"))
     domains = spark.range(1).select(F.lit("official.example").alias("domain"))
-    ranked, _ = search_discovery(m, _providers(spark), plan.select("query_id", "provider_id", body.alias("body")), domains, F.lit("2024-01-01").cast("timestamp"), top=1_000_000_000, min_score=0.0)
+    ranked, _ = search_discovery(m, _providers(spark), plan.select("query_id", "provider_id", body.alias("body")), domains, F.lit("2024-01-01").cast("timestamp"), top=None, min_score=0.0)
     return ranked.select("canonical_url", "evidence_count", big(F.col("fetch_priority")).alias("fetch_priority"))
 
 
@@ -571,7 +571,7 @@ def discovery_run(spark, folder) -> tuple[DataFrame, DataFrame]:
     )
     apis = feeds.select(F.col("api").alias("url"), F.col("api_body").alias("body"))
     none = feeds.select("url", "body").limit(0)
-    return discover(sources, feeds.select("url", "body"), none, apis, max_candidates=1_000_000_000)
+    return discover(sources, feeds.select("url", "body"), none, apis, max_candidates=None)
 
 
 def _by(key: str, order: str):

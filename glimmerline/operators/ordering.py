@@ -42,9 +42,12 @@ def sequential_ids(df: DataFrame, order: Sequence[Column | str], prefix: str, na
     )
 
 
-def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """Planned as TakeOrderedAndProject."""
-    return df.orderBy(*order).limit(n)
+def top_n(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame:
+    """Planned as TakeOrderedAndProject; without n all rows stay, unsorted.
+
+    The plan reserves room for n rows, so "everything" must not be a huge n.
+    """
+    return df if n is None else df.orderBy(*order).limit(n)
 
 
 def top_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | Column) -> DataFrame:

@@ -16,12 +16,13 @@ _COMMON = ["id", "company", "transport", "turn", "item", "url", "hint_doc_type",
 
 def discover(
     sources: DataFrame, feeds: DataFrame, sitemaps: DataFrame, apis: DataFrame,
-    max_candidates: int = 200, mode: str = "balanced",
+    max_candidates: int | None = 200, mode: str = "balanced",
 ) -> tuple[DataFrame, DataFrame]:
     """(candidates, report). Payload tables are keyed by `url`, with `body`."""
     turns = resolve_transports(sources, mode)
+    most = 2**31 - 1 if max_candidates is None else max_candidates
     sized = turns.withColumn(
-        "cap", F.greatest(F.lit(8), F.floor(F.lit(max_candidates) / F.count("*").over(Window.partitionBy("id"))).cast("int"))
+        "cap", F.greatest(F.lit(8), F.floor(F.lit(most) / F.count("*").over(Window.partitionBy("id"))).cast("int"))
     )  # a source has a handful of transports
     turns = cut_lineage(sized)
     of = lambda kind: turns.filter(F.col("transport") == kind)
@@ -37,7 +38,7 @@ def discover(
     ).withColumns({"date": null("string"), "published_at": null("timestamp")})
     maps = sitemap_candidates(
         of("sitemap").select(F.concat_ws("\u0001", "id", "turn").alias("source_id"), F.col("transport_url").alias("sitemap_url")),
-        sitemaps.select(F.col("url").alias("sitemap_url"), "body"), max_candidates,
+        sitemaps.select(F.col("url").alias("sitemap_url"), "body"), most,
     )
     w = Window.partitionBy("source_id").orderBy("trail")  # cut to max_candidates before
     maps = (

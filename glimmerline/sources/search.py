@@ -139,9 +139,11 @@ def route_candidates(scored: DataFrame, min_score: float = 0.3) -> DataFrame:
     )
 
 
-def top_candidates(routed: DataFrame, n: int = 30) -> DataFrame:
+def top_candidates(routed: DataFrame, n: int | None = 30) -> DataFrame:
     """Best fetch priority first, arrival order breaks ties."""
-    return routed.orderBy(F.desc("fetch_priority"), "pos").limit(n)
+    from ..operators.ordering import top_n
+
+    return top_n(routed, [F.desc("fetch_priority"), F.col("pos")], n)
 
 
 def common_candidates(routed: DataFrame) -> DataFrame:
