@@ -14,7 +14,7 @@ from ..operators.ordering import page, page_info, sequential_ids, top_n, top_n_p
 from ..plans import reads
 from ..session import scratch_path
 from ..sources.store import (
-    append_attempts, current_runs, document_rows, latest_version, layer_rows, read_layer, save_layer, upsert, upsert_table, widen,
+    append_attempts, compact_table, current_runs, document_rows, layer_rows, read_layer, read_table, save_layer, upsert, upsert_table, widen,
 )
 from ..streaming.intake import append_to, drop_repeats, health_each, read_landing, upsert_each
 from .base import big, joined, query, table, text_of
@@ -103,7 +103,7 @@ o AS (SELECT *, 'run' || (o_orderkey % 5) AS run_id FROM orders)
 )
 def finding_page(spark, folder):
     rows, info = reads.list_page(star_layers(spark, folder)["findings"], "findings", "importance", 2, 20, run_id="run1", min_importance=0.2, min_decision_relevance=0.3)
-    return rows.select("finding_id", "importance_score").crossJoin(info)  # a page and one row
+    return rows.select("finding_id", "importance_score", info.select("total").scalar().alias("total"), info.select("total_pages").scalar().alias("total_pages"))
 
 
 @query(
@@ -302,7 +302,9 @@ def sequential_ids_query(spark, folder):
 @query("customer_page", "SELECT c_custkey, c_acctbal, (SELECT count(*) FROM customer) AS total, (SELECT ceil(count(*) / 50)::BIGINT FROM customer) AS total_pages FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 50")
 def customer_page(spark, folder):
     c = table(spark, folder, "customer").select("c_custkey", "c_acctbal")
-    return page(c, [F.desc("c_acctbal"), F.col("c_custkey")], 2, 50).crossJoin(page_info(c, 50))  # a page and one row
+    info = page_info(c, 50)
+    rows = page(c, [F.desc("c_acctbal"), F.col("c_custkey")], 2, 50)
+    return rows.select("*", info.select("total").scalar().alias("total"), info.select("total_pages").scalar().alias("total_pages"))
 
 
 # --- stores -------------------------------------------------------------------------------------------
@@ -327,7 +329,8 @@ def upserted_orders(spark, folder):
     path = scratch_path(spark, "upsert")
     upsert_table(spark, path, o.filter("o_orderkey % 2 = 0"), "o_custkey", "o_orderkey")
     upsert_table(spark, path, o.filter("o_orderkey % 2 = 1"), "o_custkey", "o_orderkey")
-    return latest_version(spark, path)[0]
+    compact_table(spark, path, "o_custkey", "o_orderkey")
+    return read_table(spark, path, "o_custkey", "o_orderkey")
 
 
 @query("widened_rows", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS s_name FROM supplier")
@@ -467,7 +470,7 @@ def stream_health(spark, folder):
     """Health carried over the micro-batches."""
     path = scratch_path(spark, "stream-health")
     health_each(fetch_log(_event_stream(spark, folder)), path, path + "-cp").awaitTermination()
-    return latest_version(spark, path)[0].withColumn("anti_bot_score", F.round("anti_bot_score", 6)).select(*_HEALTH_COLUMNS)
+    return read_table(spark, path, "source_id", "total_attempts").withColumn("anti_bot_score", F.round("anti_bot_score", 6)).select(*_HEALTH_COLUMNS)
 
 
 @query("stream_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
@@ -475,4 +478,4 @@ def stream_upsert(spark, folder):
     """T4: the last row per key, upserted from a stream."""
     path = scratch_path(spark, "stream-upsert")
     upsert_each(_event_stream(spark, folder).select("user_id", "event_id"), path, path + "-cp", "user_id", "event_id").awaitTermination()
-    return latest_version(spark, path)[0]
+    return read_table(spark, path, "user_id", "event_id")

@@ -10,7 +10,8 @@ from ..functions.dates import parse_iso
 from ..operators.components import connected_components
 from ..operators.dedup import document_keys, drop_seen, greedy_dedup, idempotency_key, keep_first, keep_last
 from ..plans.decisions import (
-    brief_support, build_briefs, build_recommendations, build_sections, build_signals, finding_records, recommendation_order,
+    brief_support, build_briefs, build_recommendations, build_sections, build_signals, decision_counts, finding_records,
+    recommendation_order,
 )
 from ..plans.evidence import build_documents, build_events, build_evidence, build_links
 from ..plans.findings import build_alerts, build_briefing_items, build_findings, build_trends, finding_order, story_order
@@ -429,6 +430,18 @@ def brief_support_query(spark, folder):
     return brief_support(_records(spark, folder)).select("kind", "id")
 
 
+@query(
+    "layer_metadata",
+    f"""
+    WITH {_FINDING_SQL} SELECT count(*) AS findings_in, count(*) AS signals, count(DISTINCT t || theme) AS recommendations, count(DISTINCT t) AS consolidated_actions, 3::BIGINT AS briefs FROM f
+    """,
+)
+def layer_metadata(spark, folder):
+    records = _records(spark, folder)
+    recs = build_recommendations(records)
+    return decision_counts(records, recs, build_briefs(records, recs))
+
+
 # --- first-wins rules -----------------------------------------------------------------------------
 @query(
     "first_per_url",

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .fetching import CHALLENGES
+from .ordering import one_row, row_count
 
 # the score moves in steps of 0.05: +6, +2 or -1 step, held between 0 and 20
 TOP = 20
@@ -151,8 +152,5 @@ def discovery_report(attempts: DataFrame) -> DataFrame:
 
 def run_stats(**stages: DataFrame) -> DataFrame:
     """One row with the size of every stage table."""
-    out = None
-    for name, df in stages.items():
-        n = df.agg(F.count("*").alias(name))
-        out = n if out is None else out.crossJoin(n)  # single rows
-    return out
+    spark = next(iter(stages.values())).sparkSession
+    return one_row(spark, **{name: row_count(df) for name, df in stages.items()})

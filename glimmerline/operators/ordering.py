@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage
 
@@ -50,10 +50,17 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame:
     return df if n is None else df.orderBy(*order).limit(n)
 
 
-def top_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | Column) -> DataFrame:
-    """First n rows per key, pruned map-side when n is a number."""
+def top_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | Column, most: int | None = None) -> DataFrame:
+    """First n rows per key.
+
+    A number is pruned map-side, so a hot key sends n rows per task. For an n
+    that differs by row, `most` is its bound and is pruned first.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    ranked = df.withColumn("_rn", F.row_number().over(w))
+    if most is not None:
+        ranked = ranked.filter(F.col("_rn") <= most)
+    return ranked.filter(F.col("_rn") <= n).drop("_rn")
 
 
 def page(df: DataFrame, order: Sequence[Column], page_no: int = 1, page_size: int = 20) -> DataFrame:
@@ -70,6 +77,15 @@ def page_info(df: DataFrame, page_size: int = 20) -> DataFrame:
     )
 
 
+def one_row(spark: SparkSession, **values: DataFrame) -> DataFrame:
+    """A single row from one-row, one-column tables, as scalar subqueries."""
+    return spark.range(1).select(*[df.scalar().alias(name) for name, df in values.items()])
+
+
+def row_count(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("n"))
+
+
 def first_seen_mode(df: DataFrame, keys: Sequence[str], value: str, order: Column) -> DataFrame:
     """A5: most common value per key, ties by first occurrence."""
     counted = df.groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))

@@ -54,7 +54,7 @@ def social_batches(sources: DataFrame, payloads: DataFrame, comments: DataFrame)
     )
     capped = top_n_per(
         found.join(live.select("source_id", "max_items", "trust_tier", "include_comments", "metadata_fallback", "priority"), "source_id"),
-        ["source_id"], ["item"], F.greatest(F.lit(1), F.least("max_items", F.when(F.col("platform") == "reddit", 100).otherwise(50))),
+        ["source_id"], ["item"], F.greatest(F.lit(1), F.least("max_items", F.when(F.col("platform") == "reddit", 100).otherwise(50))), most=100,
     )
     found = cut_lineage(capped)
     failed = comments.filter("failed").select("external_id").distinct().withColumn("_failed", F.lit(True))

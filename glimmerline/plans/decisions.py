@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import empty_strings, first_nonempty, hash_id, label, ordered_distinct
 from ..functions.vocab import ACTION_ROWS, BRIEF_ROWS, SECTION_LABELS, SECTION_ORDER, WATCH_ORDER
-from ..operators.ordering import sequential_ids, top_n, top_n_per
+from ..operators.ordering import one_row, row_count, sequential_ids, top_n, top_n_per
 from ..operators.unions import first_values, ordered_unions
 from .findings import filled, flag
 
@@ -212,18 +212,15 @@ def build_briefs(records: DataFrame, recommendations: DataFrame) -> DataFrame:
         per_type("opportunity_signal", "labels").alias("top_opportunities"),
         F.concat(*[per_type(k, "watch") for k in WATCH_ORDER]).alias("watch"),
     )
-    counts = records.agg(F.count("*").alias("n_findings")).crossJoin(
-        recommendations.agg(F.count("*").alias("n_recommendations"))
-    )
     memo = recommendations.filter(
         F.col("recommended_action").isin("escalate_risk_review", "pursue_opportunity_validation")
     )
-    one = (
-        counts.crossJoin(shown).crossJoin(_first_ids(recommendations, 5, "best"))
-        .crossJoin(_first_ids(memo, 5, "memo"))
-        .crossJoin(_first_ids(recommendations, 3, "actions", "recommended_action"))
-        .filter("n_findings > 0")
-    )
+    one = one_row(
+        records.sparkSession, n_findings=row_count(records), n_recommendations=row_count(recommendations),
+        shown=shown.select(F.struct("sections", "top_risks", "top_opportunities", "watch")),
+        best=_first_ids(recommendations, 5, "best"), memo=_first_ids(memo, 5, "memo"),
+        actions=_first_ids(recommendations, 3, "actions", "recommended_action"),
+    ).filter("n_findings > 0").select("*", "shown.*").drop("shown")
     signal_ids = lambda k: F.transform(
         F.sequence(F.lit(1), F.least(F.col("n_findings"), F.lit(k)).cast("int")), lambda i: F.concat(F.lit("ds_"), i.cast("string"))
     )
@@ -299,8 +296,7 @@ def brief_support(records: DataFrame) -> DataFrame:
 
 def decision_counts(records: DataFrame, recommendations: DataFrame, briefs: DataFrame) -> DataFrame:
     """Counts of the decision layer in one row."""
-    return records.agg(F.count("*").alias("findings_in"), F.count("*").alias("signals")).crossJoin(
-        recommendations.agg(
-            F.count("*").alias("recommendations"), F.count_distinct("recommended_action").alias("consolidated_actions")
-        )
-    ).crossJoin(briefs.agg(F.count("*").alias("briefs")))
+    return one_row(
+        records.sparkSession, findings_in=row_count(records), signals=row_count(records), recommendations=row_count(recommendations),
+        consolidated_actions=recommendations.agg(F.count_distinct("recommended_action")), briefs=row_count(briefs),
+    )

@@ -38,14 +38,17 @@ def discover(
     ).withColumns({"date": null("string"), "published_at": null("timestamp")})
     maps = sitemap_candidates(
         of("sitemap").select(F.concat_ws("\u0001", "id", "turn").alias("source_id"), F.col("transport_url").alias("sitemap_url")),
-        sitemaps.select(F.col("url").alias("sitemap_url"), "body"), most,
+        sitemaps.select(F.col("url").alias("sitemap_url"), "body"), max_candidates,
     )
-    w = Window.partitionBy("source_id").orderBy("trail")  # cut to max_candidates before
+    if max_candidates is None:
+        ranked = maps.withColumn("item", F.element_at("trail", -1))  # no cap, so no rank is needed
+    else:
+        w = Window.partitionBy("source_id").orderBy("trail")  # cut to max_candidates before
+        ranked = maps.withColumn("item", F.row_number().over(w) - 1)
     maps = (
-        maps.withColumn("item", F.row_number().over(w) - 1)
-        .join(of("sitemap").withColumn("source_id", F.concat_ws("\u0001", "id", "turn")), "source_id")
+        ranked.join(of("sitemap").withColumn("source_id", F.concat_ws("\u0001", "id", "turn")), "source_id")
         .filter(F.col("item") < F.col("cap"))
-        .select(*base, "item", maps["url"], F.lit("article").alias("hint_doc_type"), null("string").alias("title"),
+        .select(*base, "item", ranked["url"], F.lit("article").alias("hint_doc_type"), null("string").alias("title"),
                 null("string").alias("snippet"), null("string").alias("date"), null("timestamp").alias("published_at"))
     )
     seeds = listing_seeds(turns).withColumn("transport", F.lit("html_listing"))

@@ -9,7 +9,7 @@ from ..functions.text import is_url_like
 from ..functions.vocab import (
     ADOPTION_WORDS, COMPETITION_WORDS, EVENT_LABELS, FINDING_ACTIONS, FINDING_LABELS, TREND_LABELS,
 )
-from ..operators.ordering import top_n, top_n_per, with_positions
+from ..operators.ordering import one_row, row_count, top_n, top_n_per, with_positions
 from ..operators.story_pairs import rank_struct
 from ..operators.unions import ordered_unions
 
@@ -371,11 +371,9 @@ def build_briefing_items(findings: DataFrame) -> DataFrame:
 
 def layer_counts(events: DataFrame, trends: DataFrame, findings: DataFrame, alerts: DataFrame) -> DataFrame:
     """Counts of the intelligence layer in one row."""
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    out = (
-        one(events, "input_events").crossJoin(one(trends, "trends")).crossJoin(one(findings, "findings"))
-        .crossJoin(one(alerts, "alerts"))
-    )  # single rows
+    out = one_row(
+        events.sparkSession, input_events=row_count(events), trends=row_count(trends), findings=row_count(findings), alerts=row_count(alerts)
+    )
     return out.withColumns(
         {
             "briefing_items": F.least(F.col("findings"), F.lit(3)).cast("bigint"),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import empty_strings, first_nonempty
-from ..operators.ordering import page, page_info
+from ..operators.ordering import one_row, page, page_info, row_count
 
 # --- P16 ---------------------------------------------------------------------------------
 FILTERS = {
@@ -239,9 +239,9 @@ def reference_check(documents, evidence, links, events, findings, signals) -> Da
     def missing(name: str, child: DataFrame, child_key: Column, parent: DataFrame, parent_key: str) -> DataFrame:
         refs = child.select("run_id", child_key.alias("_k"))
         lost = refs.join(parent.select("run_id", F.col(parent_key).alias("_k")), ["run_id", "_k"], "left_anti")
-        return refs.agg(F.count("*").alias("n_refs")).crossJoin(lost.agg(F.count("*").alias("n_missing"))).select(
+        return one_row(child.sparkSession, n_refs=row_count(refs), n_missing=row_count(lost)).select(
             F.lit(name).alias("reference"), "n_refs", "n_missing"
-        )  # single rows
+        )
 
     return reduce(
         DataFrame.unionByName,

@@ -84,7 +84,7 @@ def feed_records(payloads: DataFrame, max_items: int = 8) -> DataFrame:
     )
 
 
-def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int = 100, max_depth: int = 20) -> DataFrame:
+def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int | None = 100, max_depth: int = 20) -> DataFrame:
     """Pages of the requested sitemaps; index files are followed.
 
     `requests(source_id, sitemap_url)` start the walk, `sitemaps(sitemap_url,
@@ -103,7 +103,7 @@ def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int
             "source_id", "sitemap_url", "trail", F.posexplode(_xml(F.col("body"), SITEMAP)["url"]).alias("item", "u")
         )
         parts.append(
-            pages.filter((F.col("item") < max_items) & (F.coalesce(F.col("u.loc"), F.lit("")) != "")).select(
+            pages.filter((F.lit(True) if max_items is None else F.col("item") < max_items) & (F.coalesce(F.col("u.loc"), F.lit("")) != "")).select(
                 "source_id", F.col("sitemap_url").alias("sitemap"), F.concat("trail", F.array("item")).alias("trail"),
                 F.col("u.loc").alias("url"), (80 - F.col("item")).alias("priority"), F.col("u.lastmod").alias("lastmod"),
             )
@@ -119,7 +119,8 @@ def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int
         )
     from ..operators.ordering import top_n_per
 
-    return top_n_per(reduce(DataFrame.unionByName, parts), ["source_id"], ["trail"], max_items)
+    every = reduce(DataFrame.unionByName, parts)
+    return every if max_items is None else top_n_per(every, ["source_id"], ["trail"], max_items)
 
 
 def rest_candidates(payloads: DataFrame, max_items: int | Column = 50) -> DataFrame:

@@ -47,9 +47,13 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
 
 def save_layer(df: DataFrame, root: str, table: str) -> None:
-    """Replaces only the run partitions that `df` holds."""
+    """Replaces only the run partitions that `df` holds.
+
+    The rebalance lets AQE cut a big run into files of the advisory size and
+    merge small ones.
+    """
     (
-        df.repartition("run_id", F.pmod(F.xxhash64(LAYERS[table]), F.lit(64)))  # a big run still writes many files
+        df.hint("rebalance", "run_id")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
         .parquet(os.path.join(root, table))
     )
@@ -71,28 +75,40 @@ def upsert(current: DataFrame | None, incoming: DataFrame, key: str, version: st
     return keep_last(both, [key], [version])
 
 
-def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, key: str, version: str) -> str:
-    """Writes the merged table as a new version folder and returns it.
+def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, key: str, version: str, number: int | None = None) -> None:
+    """Stores the incoming rows as change folder `number` (the next one if unset).
 
-    Readers take the newest folder, so a failed write never damages the table.
+    Only the changes are written; `read_table` lets the last row per key win,
+    and `compact_table` folds the changes into a base. Writing a number again
+    replaces it, so a repeated micro-batch does no harm.
     """
-    current, number = latest_version(spark, path)
-    merged = upsert(current, incoming, key, version)
-    target = os.path.join(path, f"v={number + 1:08d}")
-    merged.write.mode("overwrite").parquet(target)
-    return target
-
-
-def latest_version(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
-    """The newest complete version of a table, and its number."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in (fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "v=*/_SUCCESS")) or [])]
-    if not found:
-        return None, 0
-    best = max(found, key=lambda p: p.getParent().getName())
-    name = best.getParent().getName()
-    return spark.read.parquet(best.getParent().toString()), int(name.split("=")[1])
+    if number is None:
+        number = max([*_numbers(spark, path, "change"), *_numbers(spark, path, "base"), 0]) + 1
+    keep_last(incoming, [key], [version]).write.mode("overwrite").parquet(os.path.join(path, f"change-{number:08d}"))
+
+
+def read_table(spark: SparkSession, path: str, key: str, version: str) -> DataFrame:
+    """The current rows: newest base and the changes after it."""
+    bases = _numbers(spark, path, "base")
+    base = max(bases, default=0)
+    folders = [f"base-{base:08d}"] if bases else []
+    folders += [f"change-{n:08d}" for n in _numbers(spark, path, "change") if n > base]
+    rows = spark.read.option("mergeSchema", "true").parquet(*[os.path.join(path, f) for f in folders])
+    return keep_last(rows, [key], [version])
+
+
+def compact_table(spark: SparkSession, path: str, key: str, version: str) -> None:
+    """Writes base n, which holds all changes up to n."""
+    number = max(_numbers(spark, path, "change"), default=0)
+    read_table(spark, path, key, version).write.mode("overwrite").parquet(os.path.join(path, f"base-{number:08d}"))
+
+
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the complete folders of one kind; reads folder names only."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    fs = paths.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(paths.Path(path, f"{kind}-*/_SUCCESS")) or []
+    return sorted(int(s.getPath().getParent().getName().rsplit("-", 1)[1]) for s in done)
 
 
 def append_attempts(results: DataFrame, path: str, created_at: Column) -> None:

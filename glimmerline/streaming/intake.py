@@ -44,8 +44,8 @@ def health_each(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuer
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        start = spark.read.parquet(f"{table}/v={number:08d}") if number else None
-        source_health(batch, start).write.mode("overwrite").parquet(f"{table}/v={number + 1:08d}")
+        start = spark.read.parquet(f"{table}/base-{number:08d}") if number else None
+        source_health(batch, start).write.mode("overwrite").parquet(f"{table}/base-{number + 1:08d}")
 
     return for_each(stream, fold, checkpoint)
 
@@ -53,8 +53,8 @@ def health_each(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuer
 def upsert_each(stream: DataFrame, table: str, checkpoint: str, key: str, version: str) -> StreamingQuery:
     """T4: every micro-batch replaces documents by key."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        upsert_table(batch.sparkSession, table, batch, key, version)
+    def merge(batch: DataFrame, number: int) -> None:
+        upsert_table(batch.sparkSession, table, batch, key, version, number + 1)
 
     return for_each(stream, merge, checkpoint)
 
