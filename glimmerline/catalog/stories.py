@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import urls
 from ..functions.arrays import short_hash
-from ..functions.dates import parse_iso
 from ..operators.components import connected_components
 from ..operators.dedup import document_keys, drop_seen, greedy_dedup, idempotency_key, keep_first, keep_last
 from ..plans.decisions import (
@@ -14,7 +13,7 @@ from ..plans.decisions import (
     recommendation_order,
 )
 from ..plans.evidence import build_documents, build_events, build_evidence, build_links
-from ..plans.findings import build_alerts, build_briefing_items, build_findings, build_trends, finding_order, story_order
+from ..plans.findings import build_alerts, build_briefing_items, build_findings, build_trends, finding_order
 from ..plans.run import run_layers
 from ..plans.stories import event_profiles
 from .base import big, joined, query, table, text_of
@@ -472,6 +471,3 @@ def unseen_keys(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", key.alias("idempotency_key"), "source")
     seen = table(spark, folder, "labels").join(d.select("doc_id", "idempotency_key"), "doc_id")
     return drop_seen(d.drop("source"), seen, "idempotency_key")
-
-
-__all__ = ["layers", "parse_iso", "raw_records", "short_hash", "story_order"]

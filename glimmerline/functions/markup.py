@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrays import empty_strings, has_any, strings
 from .dates import parse_iso
-from .text import clean_text, drop_tags, squeeze, strip_ends, unescape
+from .text import COMMON_ENTITIES, clean_text, drop_tags
 from .vocab import AGGREGATE_URL_PARTS, ARTICLE_LD_TYPES, INTERSTITIAL_PHRASES
 
 # --- fixed values: head patterns -------------------------------------------------
@@ -53,8 +53,6 @@ def _ld_blobs(html: Column, entities: bool) -> Column:
 
 
 def plain_entities(c: Column) -> Column:
-    from .text import COMMON_ENTITIES
-
     out = c
     for entity, char in COMMON_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
@@ -281,9 +279,3 @@ def with_page_class(
     )
     return out.drop("_v", "_title", "_desc", "_block", "_low_hit", "_links", "_len", "_article", "_main", "_cards",
                     "_types", "_og", "_scripts", "_density", "_ld_article", "_agg")
-
-
-__all__ = [
-    "clean_text", "found", "head_fields", "ld_dates", "ld_types", "link_count", "listing_reason", "meta_content",
-    "squeeze", "strip_ends", "text_length", "unescape", "with_html_dates", "with_page_class",
-]

@@ -120,12 +120,25 @@ def _collapse_dots(p: Column) -> Column:
     return F.concat(F.lit("/"), joined, tail)
 
 
+def base_parts(base: Column) -> Column:
+    """The pieces of a page url that resolving its links needs; compute once per page."""
+    b = F.substring_index(_text(base), "#", 1)
+    return F.struct(
+        b.alias("url"), _part(b, 1).alias("scheme"), _part(b, 2).alias("netloc"), _part(b, 3).alias("path"),
+        _no_slash(F.lower(base)).alias("low"), _no_slash(raw_path(base)).alias("folder"), netloc(base).alias("site"),
+    )
+
+
 def resolve(base: Column, href: Column) -> Column:
     """absolute form of a link found on `base`, cut at `#`."""
+    return resolve_from(base_parts(base), href)
+
+
+def resolve_from(base: Column, href: Column) -> Column:
+    """F3 with the pieces of `base_parts`."""
     h = F.substring_index(_text(href), "#", 1)
     hs, hn, hp, hq = _part(h, 1), _part(h, 2), _part(h, 3), _part(h, 4)
-    b = F.substring_index(_text(base), "#", 1)
-    bs, bn, bp = _part(b, 1), _part(b, 2), _part(b, 3)
+    b, bs, bn, bp = base["url"], base["scheme"], base["netloc"], base["path"]
     merged = (
         F.when(hp.startswith("/"), hp)
         .when(bp == "", F.concat(F.lit("/"), hp))
@@ -177,11 +190,14 @@ def is_detail(listing: Column, child: Column, extra_hints: Column | None = None,
 
     `plain` is the fallback rule: fewer hints, longer tail.
     """
+    return is_detail_from(base_parts(listing), child, F.lower(raw_path(child)), extra_hints, plain=plain)
+
+
+def is_detail_from(base: Column, child: Column, p: Column, extra_hints: Column | None = None, *, plain: bool = False) -> Column:
+    """P5 with the pieces of `base_parts` and the lower path of the child."""
     hints = PLAIN_PATH_HINTS if plain else DETAIL_PATH_HINTS
-    lu = F.lower(_no_slash(listing))
+    lu, lp = base["low"], base["folder"]
     cu = F.lower(_no_slash(child))
-    p = F.lower(raw_path(child))
-    lp = _no_slash(raw_path(listing))
     hinted = has_any(p, hints)
     if extra_hints is not None:
         hinted = hinted | F.exists(

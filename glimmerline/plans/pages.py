@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
-from ..functions.arrays import empty_strings, first_nonempty
+from ..functions.arrays import first_nonempty
 from ..functions.dates import parse_changelog_date, parse_feed_date, parse_title_date
 from ..functions.markup import (
     CANONICAL_LINK, META_DESCRIPTION, OG_TITLE, TITLE, found, listing_reason, plain_entities, with_html_dates, with_page_class,
 )
-from ..functions.text import clean_text, drop_tags, language_guess, strip_ends
+from ..functions.text import clean_text, drop_tags, language_guess
 from ..functions.vocab import CHANGELOG_URL_PARTS, KNOWN_SOURCE_TITLES, MONTHS
 from ..operators.fetching import CHALLENGES, child_strategy
 
@@ -49,15 +49,22 @@ def with_listing_items(pages: DataFrame, max_items: int = 24, url: str = "url",
         F.regexp_extract_all(h, F.lit(ANCHOR), F.lit(2)).alias("href"), F.regexp_extract_all(h, F.lit(ANCHOR), F.lit(3)).alias("inner")
     )
     usable = lambda x: ~F.lower(F.ltrim(x["href"])).rlike(r"^($|#|javascript:|mailto:)")
-    stage = _selectors(pages).withColumn("_pairs", F.filter(pairs, usable))
+    stage = _selectors(pages).withColumns({"_pairs": F.filter(pairs, usable), "_base": urls.base_parts(F.col(url))})
     stage = stage.withColumn(
         "_abs",
-        F.transform("_pairs", lambda x: F.struct(urls.resolve(F.col(url), x["href"]).alias("abs"), x["inner"].alias("inner"))),
+        F.transform("_pairs", lambda x: F.struct(urls.resolve_from(F.col("_base"), x["href"]).alias("abs"), x["inner"].alias("inner"))),
+    ).withColumn(
+        "_abs",
+        F.transform(
+            "_abs",
+            lambda x: F.struct(x["abs"], x["inner"], urls.netloc(x["abs"]).alias("site"), F.lower(urls.raw_path(x["abs"])).alias("path")),
+        ),
     )
+    excluded = F.coalesce("exclude_path_substrings", F.expr("CAST(array() AS ARRAY<STRING>)"))
     keep = lambda x: (
-        urls.is_allowed(x["abs"]) & urls.same_site(x["abs"], F.col(url))
-        & ~urls.path_excluded(x["abs"], F.col("exclude_path_substrings"))
-        & urls.is_detail(F.col(url), x["abs"], F.col("path_contains_any"))
+        (x["site"] != "") & (x["site"] == F.col("_base.site")) & urls.is_allowed(x["abs"])
+        & ~F.exists(excluded, lambda part: x["path"].contains(F.lower(part)))
+        & urls.is_detail_from(F.col("_base"), x["abs"], x["path"], F.col("path_contains_any"))
         & (~urls.is_aggregate(x["abs"]) | F.coalesce("allow_aggregate_paths", F.lit(False)))
     )
     stage = stage.withColumn("_kept", F.filter("_abs", keep)).withColumn(
@@ -72,20 +79,24 @@ def with_listing_items(pages: DataFrame, max_items: int = 24, url: str = "url",
         lambda x: F.struct(x["url"].alias("url"), F.when(F.length(x["t"]) >= 2, x["t"]).alias("title")),
     )
     added = [c for c in ("path_contains_any", "exclude_path_substrings", "allow_aggregate_paths") if c not in pages.columns]
-    return stage.withColumn(name, items).drop("_pairs", "_abs", "_kept", "_named", *added)
+    return stage.withColumn(name, items).drop("_pairs", "_base", "_abs", "_kept", "_named", *added)
 
 
 def with_plain_links(pages: DataFrame, max_links: int = 20, url: str = "url", html: str = "html", name: str = "links") -> DataFrame:
     """H7: adds an array of item urls by the plainer rule."""
     h = F.coalesce(F.col(html), F.lit(""))
     hrefs = F.regexp_extract_all(h, F.lit(HREF_IN_ANCHOR), F.lit(2))
-    stage = pages.withColumn("_h", F.filter(hrefs, lambda x: ~F.lower(F.ltrim(x)).rlike(r"^($|#|javascript:)")))
-    stage = stage.withColumn("_a", F.transform("_h", lambda x: urls.resolve(F.col(url), x)))
+    stage = pages.withColumns(
+        {"_h": F.filter(hrefs, lambda x: ~F.lower(F.ltrim(x)).rlike(r"^($|#|javascript:)")), "_base": urls.base_parts(F.col(url))}
+    )
+    stage = stage.withColumn("_a", F.transform("_h", lambda x: urls.resolve_from(F.col("_base"), x)))
+    site = F.col("_base.site")
     keep = lambda a: (
-        urls.is_allowed(a) & urls.same_site(a, F.col(url)) & urls.is_detail(F.col(url), a, plain=True)
+        (site != "") & (urls.netloc(a) == site) & urls.is_allowed(a)
+        & urls.is_detail_from(F.col("_base"), a, F.lower(urls.raw_path(a)), plain=True)
     )
-    links = F.slice(F.array_distinct(F.transform(F.filter("_a", keep), urls.canonical_url)), 1, max_links)
-    return stage.withColumn(name, links).drop("_h", "_a")
+    links = F.slice(F.array_distinct(F.transform(F.filter("_a", keep), lambda a: urls.canonical_url(a))), 1, max_links)
+    return stage.withColumn(name, links).drop("_h", "_a", "_base")
 
 
 def listing_items(pages: DataFrame, max_items: int = 24, url: str = "url", html: str = "html") -> DataFrame:
@@ -434,10 +445,3 @@ def expand_listings(seeds: DataFrame, landed: DataFrame, max_child_links: int =
             "follow_detail_pages": F.col("_p.follow_detail_pages"),
         }
     ).drop("_c", "c", "_p")
-
-
-__all__ = [
-    "empty_strings", "expand_listings", "extract_fulltext", "extract_index", "extract_listing", "extract_metadata",
-    "listing_items", "metadata_without_result", "normalize_documents", "strip_ends", "with_changelog_entries",
-    "with_listing_items", "with_plain_links",
-]
