@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def explode_computed(df: DataFrame, keep: list[str], array: str, at: str, value: str) -> DataFrame:
+    """Rows of an array column that is costly to compute.
+
+    A plain explode of a column makes the optimizer add a size test and push it
+    down, which computes the array again, nested steps included. The outer form
+    with a test on its own output computes it once.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(at, value))
+    return rows.filter(F.col(at).isNotNull())
+
+
 def _tag(name: str, values: Column) -> Column:
     return F.transform(
         F.coalesce(values, F.expr("CAST(array() AS ARRAY<STRING>)")),

@@ -13,6 +13,7 @@ from ..functions.markup import (
 from ..functions.text import clean_text, drop_tags, language_guess
 from ..functions.vocab import CHANGELOG_URL_PARTS, KNOWN_SOURCE_TITLES, MONTHS
 from ..operators.fetching import CHALLENGES, child_strategy
+from ..operators.unions import explode_computed
 
 # --- fixed values: anchor and entry patterns --------------------------------------------
 ANCHOR = r"""(?is)<a\s+[^>]*href\s*=\s*(['"])(.*?)\1[^>]*>(.*?)</a>"""
@@ -101,9 +102,8 @@ def with_plain_links(pages: DataFrame, max_links: int = 20, url: str = "url", ht
 
 def listing_items(pages: DataFrame, max_items: int = 24, url: str = "url", html: str = "html") -> DataFrame:
     """H6 as rows: page url, position, item url and title."""
-    return with_listing_items(pages.select(F.col(url), F.col(html)), max_items, url, html).select(
-        F.col(url).alias("page_url"), F.posexplode("items").alias("item", "i")
-    ).select("page_url", "item", "i.url", "i.title")
+    rows = explode_computed(with_listing_items(pages.select(url, html), max_items, url, html), [url], "items", "item", "i")
+    return rows.select(F.col(url).alias("page_url"), "item", "i.url", "i.title")
 
 
 # --- H8 -----------------------------------------------------------------------------------------
@@ -434,7 +434,7 @@ def expand_listings(seeds: DataFrame, landed: DataFrame, max_child_links: int =
     children = F.when(F.size("items") > 0, F.col("items")).otherwise(
         F.transform("links", lambda u: F.struct(u.alias("url"), F.lit(None).cast("string").alias("title")))
     )
-    rows = both.withColumn("_c", children).drop("items", "links", "html").select("*", F.posexplode("_c").alias("child_at", "c"))
+    rows = explode_computed(both.withColumn("_c", children).drop("items", "links", "html"), ["*"], "_c", "child_at", "c")
     plan = child_strategy(F.col("url"), F.col("c.url"), F.coalesce("source_strategy", F.lit("")), F.coalesce("follow_detail_pages", F.lit(True)))
     return rows.withColumn("_p", plan).withColumns(
         {
