@@ -149,7 +149,8 @@ def unfetched_results(planned: DataFrame) -> DataFrame:
 
 def gather_results(planned: DataFrame, landed: DataFrame) -> DataFrame:
     """One classified result per planned url; the last landed one counts."""
-    last = keep_last(landed, ["url"], ["ts"]).select(
+    tied = landed.withColumn("_tie", F.xxhash64("status_code", "raw_html"))  # equal times still give one answer
+    last = keep_last(tied, ["url"], ["ts", "_tie"]).select(
         "url", "final_url", "status_code", "content_type", "headers", "raw_html", "error"
     )
     fetched = planned.filter(~F.col("mode").isin("metadata_only", "skip")).select(
