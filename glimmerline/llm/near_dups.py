@@ -6,11 +6,15 @@ and the mantissa bits after its leading one (Yu and Weber, 2017). Bands of
 registers give candidates, equal registers an estimate of the similarity that
 is corrected for chance collisions, and the full sets decide.
 
-No bucket is expanded into its pairs. In each round a few hubs of a bucket
-meet the members of other components, then leave the bucket. A pair of a
-bucket is so either compared or already in one component, and a group of
-copies needs one comparison per member. Hubs come from outside the largest
-component of the bucket, and their number grows from round to round.
+No bucket is expanded into its pairs. In the first round one hub of each
+bucket meets the other members, which settles buckets of copies. Documents of
+buckets that still hold several components then get finer buckets: sets that
+are similar enough share one of their rarest shingles, early in the order of
+rarity (prefix and position filter of Xiao et al., 2008), so that heavily
+edited versions of one text, which are alike but not linked, fall apart. There
+some hubs of a bucket meet the members of other components and leave it, more
+of them in each round, until one component is left. A candidate pair is so
+either compared or already in one component.
 """
 
 from __future__ import annotations
@@ -43,13 +47,45 @@ def registers(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.where(least >> np.uint64(HASH_BITS), EMPTY, packed.astype(np.uint16))
 
 
+_DONORS: dict[int, np.ndarray] = {}
+
+
+def filled(sketch: np.ndarray) -> np.ndarray:
+    """Empty registers borrow from the first full one of a fixed random sequence (optimal densification, Shrivastava, 2017).
+
+    Two sketches then agree in any register with the similarity's probability,
+    for small sets too; a band of nearly empty registers would say little.
+    """
+    size = len(sketch)
+    if size not in _DONORS:
+        _DONORS[size] = np.random.default_rng(size).integers(0, size, (size, 512))
+    out = sketch.copy()
+    full = sketch != EMPTY
+    if not full.any():
+        return out
+    for tries in (16, 512):
+        open_ = np.flatnonzero(out == EMPTY)
+        if not len(open_):
+            break
+        donors = _DONORS[size][open_, :tries]
+        good = full[donors]
+        first = good.argmax(1)
+        out[open_] = sketch[donors[np.arange(len(open_)), first]]
+    places = np.flatnonzero(full)
+    open_ = np.flatnonzero(out == EMPTY)
+    out[open_] = sketch[places[np.searchsorted(places, open_) % len(places)]]
+    return out
+
+
 def band_keys(sketch: np.ndarray, bands: int) -> np.ndarray:
-    """A key per band of registers that isn't all empty."""
-    rows = sketch.reshape(bands, -1).astype(np.uint64)
+    """A key per band; none for a sketch without a full register."""
+    if (sketch == EMPTY).all():
+        return np.zeros(0, np.uint64)
+    rows = filled(sketch).reshape(bands, -1).astype(np.uint64)
     keys = np.arange(bands, dtype=np.uint64)
     for k in range(rows.shape[1]):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
-    return keys[(sketch.reshape(bands, -1) != EMPTY).any(1)]
+    return keys
 
 
 def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,24 +194,18 @@ def near_duplicates(
     faces = stored(real.join(ids, "id", "left_semi").select("id", "n", "sketch"), "faces")
     texts = stored(frame.join(ids, "id", "left_semi"), "texts")
     labels = stored(ids.withColumn("comp", F.col("id")), "labels")
+    members = members.withColumns({"n": F.lit(1).cast("long"), "at": F.lit(0).cast("long")})
     hubs = 1
     while True:
-        now = members.join(labels, "id")
-        counts = now.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        open_keys = counts.groupBy("key").agg(
-            F.count("*").alias("comps"), F.max_by("comp", F.struct("size", -F.hash("comp"), "comp")).alias("main")
-        ).filter("comps > 1")
-        active = stored(now.join(open_keys.select("key", "main"), "key").select("key", "id", "comp", "main"), "active")
+        active, chosen = _open_buckets(members, labels, hubs, threshold)
         if active.isEmpty():
             break
-        ranked = active.filter("comp <> main").withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-        chosen = ranked.filter(F.col("at") <= hubs).select("key", F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
         pairs = (
             chosen.join(active, "key").filter("comp <> hub_comp")
+            .filter((100 + threshold) * F.least(F.col("hub_n") - F.col("hub_at"), F.col("n") - F.col("at")) >= threshold * (F.col("hub_n") + F.col("n")))
             .select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
-        )
+        )
         links = _verified(pairs, faces, texts, width, threshold)
-        members = active.select("key", "id").join(chosen.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
         if not links.isEmpty():
             name = labels.select(F.col("id").alias("a"), F.col("comp").alias("comp_a"))
             other = labels.select(F.col("id").alias("b"), F.col("comp").alias("comp_b"))
@@ -184,10 +214,60 @@ def near_duplicates(
             labels = stored(
                 labels.join(moved, "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), "labels"
             )
-        hubs *= 4
+        if hubs == 1:
+            left, _ = _open_buckets(members, labels, hubs, threshold)
+            members = _rare_shingles(texts.join(left.select("id").distinct(), "id", "left_semi"), width, threshold)
+        else:
+            gone = chosen.select("key", F.col("hub").alias("id"))
+            members = active.select("key", "id", "n", "at").join(gone, ["key", "id"], "left_anti")
+        hubs *= 8
     return _with_components(sketches, copies, labels, doc_id)
 
 
+def _open_buckets(members: DataFrame, labels: DataFrame, hubs: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(members of buckets that hold several components, hubs of those buckets).
+
+    Hubs are taken from outside the largest component of the bucket. Of a pair
+    that can be linked, the smaller set has the shared shingle early; buckets
+    without such a member are settled.
+    """
+    now = members.join(labels, "id").withColumn("early", (100 + threshold) * (F.col("n") - F.col("at")) >= 2 * threshold * F.col("n"))
+    counts = now.groupBy("key", "comp").agg(F.count("*").alias("size"), F.max("early").alias("early"))
+    open_keys = counts.groupBy("key").agg(
+        F.count("*").alias("comps"), F.max("early").alias("early"), F.max_by("comp", F.struct("size", -F.hash("comp"), "comp")).alias("main")
+    ).filter("comps > 1 and early").select("key", "main")
+    active = stored(now.drop("early").join(open_keys, "key"), "active")
+    order = Window.partitionBy("key").orderBy("id", "n", "at")
+    ranked = active.filter("comp <> main").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= hubs)
+    return active, ranked.select(
+        "key", F.col("id").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at")
+    )
+
+
+def _set_rows(width: int):
+    def make(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingles(words, width).astype(np.int64) for _, words in hashed_words(as_bytes(batch.column(1)), BLANKS)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "keys"]
+            )
+
+    return make
+
+
+def _rare_shingles(texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Rows (key, id, n, at): shingles of a document that are shared, and come so early by rarity that a link must share one."""
+    schema = with_type_of(texts, {"id": "id"}, "n long, keys array<long>")
+    every = stored(texts.select("id", "text").mapInArrow(_set_rows(width), schema), "sets").select("id", "n", F.explode("keys").alias("key"))
+    shared = every.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
+    kept = every.join(shared, "key").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "key"))).alias("keys"))
+    placed = kept.select("id", "n", F.size("keys").alias("some"), F.posexplode("keys").alias("k", "s"))
+    at = F.col("n") - F.col("some") + F.col("k")
+    return placed.select("s.key", "id", "n", at.cast("long").alias("at")).filter(100 * (F.col("n") - F.col("at")) >= threshold * F.col("n"))
+
+
 def _verified(pairs: DataFrame, faces: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
     """Links among the pairs. Each document first meets its likeliest partner; other pairs only if that left them apart."""
 
