@@ -55,7 +55,7 @@ def size_bounds(size: int, least: float) -> tuple[int, int]:
 
 
 def asked_words(grams: set[str], least: float, known: set[str] = frozenset()) -> set[str]:
-    """Few words such that a unit within reach of the template holds one of them; `known` ones cost nothing, long ones less."""
+    """Few words such that a unit within reach of the template holds one of them; long words are rarer, `known` ones cost nothing."""
     open_, needed = set(grams), math.ceil(least / (2 - least) * len(grams) - 1e-9)
     chosen: set[str] = set()
     while len(open_) >= needed:  # a unit could still share enough without any chosen word
@@ -63,7 +63,7 @@ def asked_words(grams: set[str], least: float, known: set[str] = frozenset()) ->
         for g in open_:
             for w in set(g.split()):
                 count[w] += 1
-        word = max(count, key=lambda w: (w in known, count[w] * (len(w) > 4), len(w), w))
+        word = max(count, key=lambda w: (sum(len(w) >= n for n in (4, 5, 7)), w in known, count[w], len(w), w))
         chosen.add(word)
         open_ = {g for g in open_ if word not in g.split()}
     return chosen
@@ -95,10 +95,13 @@ def license_matches(
     for g in grams.values():
         asked |= asked_words(g, least, asked)
     asked = sorted(asked)
+    few = "|".join(w for w in asked if len(w) <= 4)  # short words are parts of many others
+    short = f"(?<![a-z0-9])(?:{few})(?![a-z0-9])" if few else ""
 
     def holds(unit: Column) -> Column:
         """Inside the lambda the lower-cased unit is made once, not once per word."""
-        return F.exists(F.array(F.lower(unit)), lambda low: _any([low.contains(w) for w in asked]))
+        tests = lambda low: [low.contains(w) for w in asked if len(w) > 4] + [low.rlike(short)] * bool(short)
+        return F.exists(F.array(F.lower(unit)), lambda low: _any(tests(low)))
 
     frame = docs.select(F.col(doc_id), F.col(text).alias("_text")).filter(holds(F.col("_text")))
     units = frame.select(doc_id, F.explode(_units(F.col("_text"))).alias("u")).select(doc_id, "u.unit", "u.kind")
