@@ -254,7 +254,7 @@ def stable_ids(spark, folder):
 @query(
     "text_cuts",
     """
-    SELECT doc_id, sha256(substring(text, 1, 4000)) AS evidence_digest, coalesce(nullif(substring(text, 1, 80), ''), 'doc') AS title,
+    SELECT doc_id, sha256(text) AS evidence_digest, coalesce(nullif(substring(text, 1, 80), ''), 'doc') AS title,
       CASE WHEN regexp_matches(substring(text, 1, 80), '[a-zA-Z]') THEN 'en' END AS language FROM documents
     """,
 )

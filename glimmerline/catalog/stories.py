@@ -65,7 +65,7 @@ def evidence_documents(spark, folder):
     "evidence_rows",
     f"""
     WITH {_RAW_SQL} SELECT pos, 'evi_' || doc AS evidence_id, doc AS doc_id, provider AS source_id, provider || '/' || pos AS trace,
-      length(substring(text, 1, 4000)) AS n_chars FROM r
+      length(text) AS n_chars FROM r
     """,
 )
 def evidence_rows(spark, folder):

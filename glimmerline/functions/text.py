@@ -75,9 +75,10 @@ def is_url_like(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).rlike(r"(?iU)^\s*https?://")
 
 
-def evidence_text(c: Column, limit: int = 4000) -> Column:
-    """the first `limit` characters."""
-    return F.substring(F.coalesce(c, F.lit("")), 1, limit)
+def evidence_text(c: Column, limit: int | None = None) -> Column:
+    """the text, cut to its first `limit` characters only if a limit is given."""
+    text = F.coalesce(c, F.lit(""))
+    return text if limit is None else F.substring(text, 1, limit)
 
 
 def event_title(text: Column, doc_id: Column) -> Column:

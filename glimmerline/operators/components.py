@@ -33,7 +33,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.select("e.u", "e.v").filter("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node that has an edge.
 
     Alternating large-star and small-star steps (Kiveris et al., SoCC 2014):
@@ -49,14 +49,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     if current.isEmpty():
         return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     mark = _fingerprint(current)
-    for _ in range(max_rounds):
+    while True:
         current = cut_lineage(_small_star(_large_star(current)))
         now = _fingerprint(current)
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components still moving after {max_rounds} rounds")
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

@@ -35,7 +35,7 @@ def idempotency_key(salt: Column, provider: Column, external_id: Column) -> Colu
     return F.concat_ws(":", salt, provider, external_id)
 
 
-def greedy_dedup(df: DataFrame, pos: str, keys: dict[str, Column], max_rounds: int = 1000) -> DataFrame:
+def greedy_dedup(df: DataFrame, pos: str, keys: dict[str, Column]) -> DataFrame:
     """Walk in `pos` order, drop a row that shares a key with a *kept* earlier row.
 
     `keys` maps a name to a text column; null claims nothing. The rule is not
@@ -52,9 +52,7 @@ def greedy_dedup(df: DataFrame, pos: str, keys: dict[str, Column], max_rounds: i
     open_keys = cut_lineage(held.join(shared, "key"))
     contested = open_keys.select("pos").distinct()
     kept_parts: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if open_keys.isEmpty():
-            break
+    while not open_keys.isEmpty():
         first = open_keys.groupBy("key").agg(F.min("pos").alias("first"))
         judged = open_keys.join(first, "key")
         kept = cut_lineage(
@@ -66,8 +64,6 @@ def greedy_dedup(df: DataFrame, pos: str, keys: dict[str, Column], max_rounds: i
         # a claimed key decides every holder of it: the winner and the dropped ones
         decided = open_keys.join(claimed, "key", "left_semi").select("pos").distinct()
         open_keys = cut_lineage(open_keys.join(decided, "pos", "left_anti"))
-    else:
-        raise RuntimeError(f"greedy_dedup still open after {max_rounds} rounds")
     if not kept_parts:
         return df
     kept_all = reduce(DataFrame.unionByName, kept_parts)

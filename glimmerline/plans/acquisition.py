@@ -16,7 +16,7 @@ from ..sources.social import comment_lines, social_health, social_records, with_
 
 def search_discovery(
     monitors: DataFrame, providers: DataFrame, payloads: DataFrame, domains: DataFrame, now: Column,
-    top: int | None = 30, min_score: float = 0.3, window: str = "7d",
+    top: int | None = None, min_score: float = 0.3, window: str = "7d",
 ) -> tuple[DataFrame, DataFrame]:
     """(ranked candidates, all results). `payloads(query_id, provider_id, body)` are landed responses."""
     pairs = monitor_providers(monitors, providers)

@@ -16,7 +16,7 @@ _COMMON = ["id", "company", "transport", "turn", "item", "url", "hint_doc_type",
 
 def discover(
     sources: DataFrame, feeds: DataFrame, sitemaps: DataFrame, apis: DataFrame,
-    max_candidates: int | None = 200, mode: str = "balanced",
+    max_candidates: int | None = None, mode: str = "balanced",
 ) -> tuple[DataFrame, DataFrame]:
     """(candidates, report). Payload tables are keyed by `url`, with `body`."""
     turns = resolve_transports(sources, mode)

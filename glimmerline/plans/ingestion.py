@@ -26,7 +26,7 @@ def canonical_candidates(candidates: DataFrame, pos: str = "pos") -> DataFrame:
     return keep_first(allowed, ["url"], [pos])
 
 
-def replace_seeds(candidates: DataFrame, children: DataFrame, max_candidates: int | None = 200) -> DataFrame:
+def replace_seeds(candidates: DataFrame, children: DataFrame, max_candidates: int | None = None) -> DataFrame:
     """D3: seeds give way to their children, then first per url by priority."""
     is_seed = F.coalesce("seed", F.lit(False)) | (F.coalesce("hint_doc_type", F.lit("")) == "listing")
     expanded = children.select(F.col("parent_listing_url").alias("url")).distinct()
@@ -54,7 +54,7 @@ def extract(candidates: DataFrame, results: DataFrame) -> DataFrame:
 
 def ingest(
     candidates: DataFrame, landed: DataFrame, now: Column, health: DataFrame | None = None,
-    max_candidates: int | None = 200, max_child_links: int = 15,
+    max_candidates: int | None = None, max_child_links: int = 15,
 ) -> dict[str, DataFrame]:
     """Candidates (with `pos`) and landed responses to documents, attempts, health and counts."""
     first = cut_lineage(canonical_candidates(with_candidate_fields(candidates)))

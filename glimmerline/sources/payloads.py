@@ -58,9 +58,10 @@ def feed_entries(payloads: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def feed_candidates(payloads: DataFrame, max_items: int | Column = 30) -> DataFrame:
-    """Feed entries with a link, first `max_items` of each feed."""
-    entries = feed_entries(payloads).filter((F.col("item") < max_items) & (F.coalesce("link", F.lit("")) != ""))
+def feed_candidates(payloads: DataFrame, max_items: int | Column | None = None) -> DataFrame:
+    """Feed entries with a link; only the first `max_items` of each feed if that is given."""
+    within = F.lit(True) if max_items is None else F.col("item") < max_items
+    entries = feed_entries(payloads).filter(within & (F.coalesce("link", F.lit("")) != ""))
     keep = [c for c in payloads.columns if c != "body"]
     return entries.select(
         *keep, "item", F.col("link").alias("url"), (90 - F.col("item")).alias("priority"),
@@ -70,22 +71,24 @@ def feed_candidates(payloads: DataFrame, max_items: int | Column = 30) -> DataFr
     )
 
 
-def feed_records(payloads: DataFrame, max_items: int = 8) -> DataFrame:
-    """Feed entries as raw records."""
-    e = feed_entries(payloads).filter(F.col("item") < max_items)
+def feed_records(payloads: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Feed entries as raw records; only the first `max_items` of each feed if that is given."""
+    e = feed_entries(payloads)
+    if max_items is not None:
+        e = e.filter(F.col("item") < max_items)
     external = first_nonempty(F.col("entry_id"), F.col("link"), F.concat(F.lit("entry-"), F.col("item").cast("string")))
     title, summary = F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))
     return e.withColumn("_ext", external).select(
-        "provider_id", "item", F.substring("_ext", 1, 512).alias("external_id"),
+        "provider_id", "item", F.col("_ext").alias("external_id"),
         parse_feed_date(F.col("date")).alias("fetched_at"), F.lit("application/rss-item+xml").alias("mime_type"),
         F.coalesce(first_nonempty(strip_ends(summary)), strip_ends(title)).alias("text"), title.alias("title"),
         F.coalesce("link", F.lit("")).alias("url"), "feed_url",
-        F.concat(F.lit("rss:"), F.col("provider_id"), F.lit(":"), F.substring("_ext", 1, 400)).alias("idempotency_key"),
+        F.concat(F.lit("rss:"), F.col("provider_id"), F.lit(":"), F.col("_ext")).alias("idempotency_key"),
     )
 
 
-def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int | None = 100, max_depth: int = 20) -> DataFrame:
-    """Pages of the requested sitemaps; index files are followed.
+def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Pages of the requested sitemaps; index files are followed to the last level, each once per source.
 
     `requests(source_id, sitemap_url)` start the walk, `sitemaps(sitemap_url,
     body)` holds what was landed. Each round joins the open references to the
@@ -95,10 +98,15 @@ def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int
     is_index = F.col("body").rlike(r"<(?:\w+:)?sitemapindex[\s>]")
     frontier = requests.select("source_id", "sitemap_url", F.array().cast("array<int>").alias("trail"))
     parts: list[DataFrame] = []
-    for _ in range(max_depth):
+    seen: DataFrame | None = None
+    while True:
+        if seen is not None:
+            frontier = frontier.join(seen, ["source_id", "sitemap_url"], "left_anti")
         hit = cut_lineage(frontier.join(landed, "sitemap_url"))
         if hit.isEmpty():
             break
+        now = hit.select("source_id", "sitemap_url").distinct()
+        seen = now if seen is None else seen.unionByName(now)
         pages = hit.filter(~is_index).select(
             "source_id", "sitemap_url", "trail", F.posexplode(_xml(F.col("body"), SITEMAP)["url"]).alias("item", "u")
         )

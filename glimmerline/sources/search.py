@@ -139,7 +139,7 @@ def route_candidates(scored: DataFrame, min_score: float = 0.3) -> DataFrame:
     )
 
 
-def top_candidates(routed: DataFrame, n: int | None = 30) -> DataFrame:
+def top_candidates(routed: DataFrame, n: int | None = None) -> DataFrame:
     """Best fetch priority first, arrival order breaks ties."""
     from ..operators.ordering import top_n
 
