@@ -187,7 +187,8 @@ def test_evidence_rules(spark):
     ev = {r["pos"]: r for r in build_evidence(raw).collect()}
     assert docs[1]["doc_id"] == docs[4]["doc_id"] and len(docs[1]["doc_id"]) == 24
     assert docs[2]["published_at"] is None and docs[2]["source_id"] == "p" and docs[3]["body_text"] == "hi  there"
-    assert len(ev[1]["text"]) == 4000 and ev[1]["evidence_id"] == "evi_" + docs[1]["doc_id"]
+    cut = {r["pos"]: r for r in build_evidence(raw, text_limit=4000).collect()}
+    assert len(ev[1]["text"]) == 5000 and len(cut[1]["text"]) == 4000 and ev[1]["evidence_id"] == "evi_" + docs[1]["doc_id"]
 
 
 SCENARIOS = [
