@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrays import empty_strings, has_any, strings
 from .dates import parse_iso
-from .text import COMMON_ENTITIES, clean_text, drop_tags
+from .entities import unescape
+from .text import clean_text, drop_tags
 from .vocab import AGGREGATE_URL_PARTS, ARTICLE_LD_TYPES, INTERSTITIAL_PHRASES
 
 # --- fixed values: head patterns -------------------------------------------------
@@ -48,17 +49,10 @@ def head_fields(html: Column) -> Column:
 def _ld_blobs(html: Column, entities: bool) -> Column:
     """Texts of all valid ld+json scripts, in page order."""
     raw = F.regexp_extract_all(html, F.lit(LD_SCRIPT), F.lit(1))
-    texts = F.transform(raw, lambda b: drop_tags(plain_entities(b) if entities else b))
+    texts = F.transform(raw, lambda b: drop_tags(unescape(b) if entities else b))
     return F.filter(texts, lambda b: (b != "") & F.try_parse_json(b).isNotNull())
 
 
-def plain_entities(c: Column) -> Column:
-    out = c
-    for entity, char in COMMON_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
-
-
 def _ld_values(blobs: Column, keys: str, lists: bool = True) -> Column:
     """String values of the named keys at any depth, in text order."""
     value = r'("(?:[^"\\]|\\.)*"|\[[^\]]*\])' if lists else r'("(?:[^"\\]|\\.)*")'

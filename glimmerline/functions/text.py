@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import html
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from .arrays import first_nonempty, strings
+from .entities import unescape
 from .vocab import TOKEN_STOPWORDS
 
 WS = r"(?U)[\s\x1C-\x1F]+"
@@ -32,32 +27,6 @@ def drop_tags(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), TAG, " "))
 
 
-@pandas_udf(StringType())
-def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in batches:
-        yield s.map(html.unescape, na_action="ignore")
-
-
-# fixed values: entities resolved without leaving the JVM (`&amp;` comes last)
-COMMON_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"),
-    ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&middot;", "\u00b7"), ("&bull;", "\u2022"),
-    ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"), ("&lsquo;", "\u2018"),
-    ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&laquo;", "\u00ab"),
-    ("&raquo;", "\u00bb"), ("&amp;", "&"),
-)
-_RARE_ENTITY = r"&(?!(?:" + "|".join(e[1:-1] for e, _ in COMMON_ENTITIES) + r");)[#A-Za-z]"
-
-
-def unescape(c: Column) -> Column:
-    """HTML entities to characters; only rows with a rare entity reach Python."""
-    rare = c.rlike(_RARE_ENTITY)
-    out = c
-    for entity, char in COMMON_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(rare, _unescape(F.when(rare, c))).otherwise(out)
-
-
 def clean_text(c: Column) -> Column:
     """tags out, entities resolved, white space collapsed."""
     return squeeze(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), TAG, " ")))

@@ -8,7 +8,7 @@ from ..functions import urls
 from ..functions.arrays import first_nonempty
 from ..functions.dates import parse_changelog_date, parse_feed_date, parse_title_date
 from ..functions.markup import (
-    CANONICAL_LINK, META_DESCRIPTION, OG_TITLE, TITLE, found, listing_reason, plain_entities, with_html_dates, with_page_class,
+    CANONICAL_LINK, META_DESCRIPTION, OG_TITLE, TITLE, found, listing_reason, with_html_dates, with_page_class,
 )
 from ..functions.text import clean_text, drop_tags, language_guess
 from ..functions.vocab import CHANGELOG_URL_PARTS, KNOWN_SOURCE_TITLES, MONTHS
@@ -117,7 +117,6 @@ def _entry(title: Column, detail: Column, hint: Column, key: Column) -> Column:
 def with_changelog_entries(pages: DataFrame, max_items: int = 40, url: str = "url", html: str = "html", name: str = "entries") -> DataFrame:
     """H8: adds an array of dated lines, changelog links and, when few, list items."""
     h = F.coalesce(F.col(html), F.lit(""))
-    strip = lambda c: drop_tags_plain(c)
     base = urls.netloc(F.col(url))
     stage = pages.withColumn("_plain", clean_text(h))
     dated = F.arrays_zip(
@@ -143,13 +142,13 @@ def with_changelog_entries(pages: DataFrame, max_items: int = 40, url: str = "ur
         ),
         lambda x: F.struct(
             x["abs"].alias("abs"),
-            F.when(x["tail"].rlike(r">([^<]{3,200})<"), strip(F.regexp_extract(x["tail"], r">([^<]{3,200})<", 1)))
+            F.when(x["tail"].rlike(r">([^<]{3,200})<"), clean_text(F.regexp_extract(x["tail"], r">([^<]{3,200})<", 1)))
             .otherwise(x["abs"]).alias("t"),
         ),
     )
     two = F.transform(two, lambda x: _entry(x["t"], x["abs"], F.lit(""), x["abs"]))
     chunks = F.filter(
-        F.transform(F.regexp_extract_all(h, F.lit(LIST_ITEM), F.lit(1)), strip), lambda c: F.length(c) >= 15
+        F.transform(F.regexp_extract_all(h, F.lit(LIST_ITEM), F.lit(1)), clean_text), lambda c: F.length(c) >= 15
     )
     three = F.transform(
         F.transform(
@@ -173,11 +172,6 @@ def with_changelog_entries(pages: DataFrame, max_items: int = 40, url: str = "ur
     ).drop("_plain", "_one", "_two", "_three", "_first")
 
 
-def drop_tags_plain(c: Column) -> Column:
-    """Tags out, common entities resolved, white space collapsed; for use inside arrays."""
-    return drop_tags(plain_entities(F.regexp_replace(c, r"<[^>]+>", " ")))
-
-
 # --- candidate columns ---------------------------------------------------------------------------
 CANDIDATE_FIELDS = {
     "source_id": "string", "company": "string", "source_type": "string", "hint_doc_type": "string", "priority": "int",

@@ -1,12 +1,15 @@
 """Rules on small hand-made rows, checked by hand or by a plain loop."""
 
+import html
 import random
 from datetime import datetime
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
 from glimmerline.functions import dates, markup, text, urls
+from glimmerline.functions.entities import unescape
 from glimmerline.operators.components import connected_components
 from glimmerline.operators.dedup import document_keys, greedy_dedup
 from glimmerline.operators.fetching import fetch_verdict
@@ -124,7 +127,7 @@ def test_feed_date(spark, raw, want):
     assert one(spark, F.date_format(dates.parse_feed_date(F.lit(raw)), "yyyy-MM-dd HH:mm:ss")) == want
 
 
-def test_rare_entities_reach_the_full_table(spark):
+def test_rare_entities_are_resolved_once(spark):
     assert one(spark, text.clean_text(F.lit("<b>a</b>&nbsp;&eacute; &amp;lt; &#233;"))) == "a é &lt; é"
 
 
@@ -159,6 +162,34 @@ def test_links_of_a_listing(spark):
     assert with_plain_links(df).first()["links"] == ["https://a.example/news/first-article", "https://a.example/news/2026/deep"]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_character_references_match_the_standard_library(spark, seed):
+    r = random.Random(seed)
+    names = sorted(html5)
+    odd = ["&", "&&", "&amp;lt;", "&amp;eacute;", "&#38;lt;", "&;", "&#;", "&#x;", "a b", "\n", "&" + "a" * 40 + ";"]
+
+    def part():
+        code = r.choice([r.randrange(0x180), r.randrange(0xD000, 0x10000), r.randrange(0x110100), 0xFEFF, 0x1FFFF, 10**12])
+        end = r.choice(["", ";", "z", "2"])
+        return r.choice(["&" + r.choice(names), "&" + r.choice(names).rstrip(";") + end, f"&#{code}{end}", f"&#x{code:X}{end}", r.choice(odd)])
+
+    rows = ["".join(part() for _ in range(r.randrange(6))) for _ in range(1500)] + ["&" + n for n in names[seed::2]]
+    df = spark.createDataFrame([*enumerate(rows), (-1, None)], "i long, t string")
+    got = dict(df.select("i", unescape(F.col("t"))).collect())
+    assert got.pop(-1) is None
+    assert [(t, got[i]) for i, t in enumerate(rows) if got[i] != html.unescape(t)] == []
+
+
+def test_entities_in_entries_and_linked_data(spark):
+    page = """<a href="/changelog/one">It&#8217;s caf&eacute; day &lt;b&gt;</a><li>Feb 3, 2026: na&iuml;ve &amp;eacute; &#x2014; done at last</li>
+    <script type="application/ld+json">{"@type": "Article", "datePublished": &#34;2026-03-04&#34;}</script>"""
+    df = spark.createDataFrame([("https://a.example/changelog", page)], "url string, html string")
+    titles = [e["title"] for e in with_changelog_entries(df).first()["entries"]]
+    assert "It\u2019s caf\u00e9 day <b>" in titles and any("na\u00efve &eacute; \u2014 done" in t for t in titles)
+    plan = df.select(text.clean_text(F.col("html")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_changelog_entries(spark):
     html = '<a href="/changelog/item-one">Item one title</a><a href="/changelog/item-two">Item two title</a><p>Jan 5, 2026: Something shipped today</p>'
     df = spark.createDataFrame([("https://a.example/changelog", html)], "url string, html string")
