@@ -1,5 +1,7 @@
 """The queries against their SQL, and the pipeline stage by stage against plain Python."""
 
+import os
+import random
 import re
 
 import pytest
@@ -41,6 +43,21 @@ def test_pipeline_stages(spark, data):
         assert stage(spark, docs.filter("false"), data).count() == 0
 
 
+def test_language_stage_rejects_what_it_never_learned(spark, data):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 12)))
+    soup = [" ".join(word() for _ in range(100)) for _ in range(50)]
+    dutch = "de nederlandse taal is een west germaanse taal en de officiële taal van nederland en belgië die door miljoenen mensen wordt gesproken".split()
+    finnish = "suomen kieli on itämerensuomalaisiin kieliin kuuluva kieli jota puhutaan pääosin suomessa ja se on yksi maan virallisista kielistä".split()
+    unlearned = [" ".join(rng.choice(some) for _ in range(100)) for some in (dutch, finnish) for _ in range(25)]
+    own = spark.createDataFrame([(10**8 + k, t, None, "s", len(t)) for k, t in enumerate(soup + unlearned)], "doc_id long, text string, lang string, source string, n_chars long")
+    given = spark.read.parquet(f"{os.path.dirname(data)}/sf0.01/documents.parquet")
+    kept = [r.doc_id for r in corpus_pipeline.identify_language(spark, given.unionByName(own), data).select("doc_id").collect()]
+    assert sum(k < 10**8 for k in kept) >= 0.98 * given.count()
+    assert not [k for k in kept if 10**8 <= k < 10**8 + 50]
+    assert sum(k >= 10**8 for k in kept) <= 3, "an unlearned language may resemble a learned one"
+
+
 def test_pipeline_packs_what_is_left(spark, data):
     rows = QUERIES["pipeline"](spark, data).collect()
     left = {r.doc_id for r in rows}
