@@ -34,9 +34,18 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]{32,}"),  # runs are maximal, so the bound may stand in the pattern
 )
+#: What may stand between the runs of a key's body: white space, also as escapes, quotes and marks at the start of a line.
+_GAP = r"""(?:\\+[nrt]|[\x09-\x0D\x20"'`+>#*|,;/\\])*+"""
+#: A key from BEGIN to END; without END to the end of its body: headers of encrypted keys, long runs of base64 and the rest of the last line.
+#: All repeats are possessive, so a text is read once and Java's matcher doesn't recurse.
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:Proc-Type:\x20*+[0-9]++,[A-Z]++|DEK-Info:\x20*+[A-Z0-9-]++,[0-9A-Fa-f]++))*+"
+    rf"(?:{_GAP}[A-Za-z0-9+/]{{20,}}+={{0,2}}+)*+(?:(?<=[A-Za-z0-9+/]{{20}}){_GAP}[A-Za-z0-9+/]++={{0,2}}+(?![^\x09-\x0D\"'`\\]))?+)"
+)
 #: Further kinds, by the published forms of such keys.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
