@@ -1,10 +1,12 @@
 """License notices in texts: Dice coefficient of word bigrams against templates; DataFrame functions only.
 
-Units of a text are its lines, its paragraphs and the whole. A unit can reach
-the wanted coefficient only if its number of distinct bigrams lies within
-bounds given by the template's, and only if it holds one of a few words: of a
-template's bigrams it must share so many that every choice of the others
-includes one with such a word. Both tests lose nothing.
+Units of a text are its lines, its paragraphs, the whole, and runs of words
+inside it. A unit can reach the wanted coefficient only if its number of
+distinct bigrams lies within bounds given by the template's, and only if it
+holds one of a few words: of a template's bigrams it must share so many that
+every choice of the others includes one with such a word. Both tests lose
+nothing. Runs have at most as many bigrams as the upper bound and begin and end
+with a bigram of the template: without such ends a run only scores less.
 """
 
 from __future__ import annotations
@@ -42,6 +44,46 @@ TEMPLATES = {
     "conditions are met:",
 }
 
+_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+    "\"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+    "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+    "Software. "
+)
+_TWO = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission. "
+)
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED "
+    "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Whole license texts, which reach no short notice by size.
+FULL_TEXTS = {
+    "mit-full": _GRANT + "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+    "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION "
+    "WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-2-full": _TWO + _AS_IS,
+    "bsd-3-full": _TWO + _THIRD + _AS_IS,
+    "isc-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+    "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+    "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+    "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+    "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+}
+
 
 def bigrams_of(text: str) -> set[str]:
     words = re.findall("[a-z0-9]+", text.lower())
@@ -82,15 +124,71 @@ def _units(text: Column) -> Column:
     return F.concat(part("line", F.array_distinct(lines)), part("paragraph", several), part("text", whole))
 
 
+def _pairs(words: Column) -> Column:
+    """Bigrams of a list of words, in order."""
+    less = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, less), F.slice(words, 2, less), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _runs(row: Column, needed: Column, high: Column, least: float) -> Column:
+    """Runs (dice, start, length) inside `row` (all: bigrams in order, g: of the template); of runs that overlap the best is kept."""
+    run = "struct<dice:double,start:int,length:int>"
+    at = F.filter(F.sequence(F.lit(0), F.size(row["all"]) - 1), lambda i: F.array_contains(row["g"], F.get(row["all"], i)))
+
+    def scored(start: Column, end: Column) -> Column:
+        grams = F.array_distinct(F.slice(row["all"], start + 1, end - start + 1))
+        dice = 2.0 * F.size(F.array_intersect(grams, row["g"])) / (F.size(grams) + F.size(row["g"]))
+        return F.struct(dice.alias("dice"), start.alias("start"), (end - start + 1).alias("length")).cast(run)
+
+    def best_from(places: Column, k: Column) -> Column:
+        """The best run from the k-th place; it holds `needed` places at least, so ends before that one are not tried."""
+        start = F.get(places, k)
+        ends = F.filter(F.slice(places, k + needed, F.greatest(F.least(high, F.size(places) - k - needed + 1), F.lit(0))), lambda e: e - start < high)
+        return F.array_max(F.transform(ends, lambda e: scored(start, e)))
+
+    def keep(chosen: Column, one: Column) -> Column:
+        last = F.element_at(chosen, -1)
+        apart = (F.size(chosen) == 0) | (F.get(chosen, F.size(chosen) - 1)["start"] + F.get(chosen, F.size(chosen) - 1)["length"] <= one["start"])
+        better = F.concat(F.slice(chosen, 1, F.greatest(F.size(chosen) - 1, F.lit(0))), F.array(one))
+        return F.when(apart, F.concat(chosen, F.array(one))).when(one["dice"] > last["dice"], better).otherwise(chosen)
+
+    def found(places: Column) -> Column:
+        starts = F.when(F.size(places) >= needed, F.sequence(F.lit(0), F.size(places) - needed)).otherwise(F.array().cast("array<int>"))
+        runs = F.filter(F.transform(starts, lambda k: best_from(places, k)), lambda r: r["dice"] >= least)
+        return F.aggregate(runs, F.array().cast(f"array<{run}>"), keep)
+
+    return F.flatten(F.transform(F.array(at), found))  # inside the lambda the places are made once
+
+
+def _inside(frame: DataFrame, doc_id: str, grams: dict[str, set[str]], least: float) -> DataFrame:
+    """Rows (id, license, kind, unit, dice) of runs of words in texts; only texts that share enough bigrams with a template are searched."""
+    listed = frame.withColumn("words", _words(F.col("_text"))).withColumn("all", _pairs(F.col("words"))).withColumn("own", F.array_distinct("all"))
+    each = []
+    for name, g in grams.items():
+        needed = max(size_bounds(len(g), least)[0], 1)
+        lit = F.array(*[F.lit(x) for x in sorted(g)])
+        high = F.lit(size_bounds(len(g), least)[1])
+        some = F.struct(F.lit(name).alias("license"), lit.alias("g"), F.lit(needed).alias("needed"), high.alias("high"))
+        each.append(F.when(F.size(F.array_intersect("own", lit)) >= needed, some))
+    near = listed.withColumn("t", F.explode(F.array_compact(F.array(*each)))).select(doc_id, "words", "all", "t.*")
+    runs = _runs(F.struct("all", "g"), F.col("needed"), F.col("high"), least)
+    found = near.select(doc_id, "license", "words", F.explode(runs).alias("m"))
+    unit = F.array_join(F.slice("words", F.col("m.start") + 1, F.col("m.length") + 1), " ")
+    return found.select(doc_id, "license", F.lit("inside").alias("kind"), unit.alias("unit"), "m.dice")
+
+
 def license_matches(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, templates: dict[str, str] | None = None
 ) -> DataFrame:
     """Rows (id, license, kind, unit, dice) of units that reach `least` with a template; equal lines of a text count once.
 
+    Kind `inside` are runs of words anywhere in the text, lower-cased; a notice
+    that is a line or a paragraph of its own is given as a run too. Of runs of
+    one license that overlap, the best is given.
     Null and empty texts have no units. Rows that share an id each give their
     own matches.
     """
-    grams = {k: g for k, t in sorted((templates or TEMPLATES).items()) if (g := bigrams_of(t))}
+    grams = {k: g for k, t in sorted((templates or TEMPLATES | FULL_TEXTS).items()) if (g := bigrams_of(t))}
     asked: set[str] = set()
     for g in grams.values():
         asked |= asked_words(g, least, asked)
@@ -106,9 +204,7 @@ def license_matches(
     frame = docs.select(F.col(doc_id), F.col(text).alias("_text")).filter(holds(F.col("_text")))
     units = frame.select(doc_id, F.explode(_units(F.col("_text"))).alias("u")).select(doc_id, "u.unit", "u.kind")
     units = units.filter(holds(F.col("unit"))).withColumn("words", _words(F.col("unit")))
-    pairs = F.array_distinct(
-        F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    )
+    pairs = F.array_distinct(_pairs(F.col("words")))
     units = units.withColumn("grams", pairs).withColumn("size", F.size("grams"))
     each = []
     for name, g in grams.items():
@@ -117,7 +213,7 @@ def license_matches(
         dice = F.when(F.col("size").between(low_, high), 2.0 * both / (F.col("size") + len(g)))
         each.append(F.struct(F.lit(name).alias("license"), dice.alias("dice")))
     found = units.select(doc_id, "kind", "unit", F.explode(F.filter(F.array(*each), lambda e: e["dice"] >= least)).alias("m"))
-    return found.select(doc_id, "m.license", "kind", "unit", "m.dice")
+    return found.select(doc_id, "m.license", "kind", "unit", "m.dice").unionByName(_inside(frame, doc_id, grams, least))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -128,6 +224,12 @@ def _any(tests: list[Column]) -> Column:
 
 
 def license_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
-    """Per document with a notice and license: number of units that match it and the best coefficient."""
+    """Per document with a notice and license: number of units that match it and the best coefficient.
+
+    Runs inside a text count where no line, paragraph or whole text matches.
+    """
     found = license_matches(docs, doc_id, text, least)
-    return found.groupBy(doc_id, "license").agg(F.count("*").alias("n_units"), F.round(F.max("dice"), 6).alias("best_dice"))
+    of = lambda kind: F.when(F.col("kind") == "inside" if kind else F.col("kind") != "inside", F.col("dice"))
+    both = found.groupBy(doc_id, "license").agg(*[f(of(k)).alias(f"{n}{k:d}") for k in (False, True) for n, f in (("n", F.count), ("best", F.max))])
+    count = F.when(F.col("n0") > 0, F.col("n0")).otherwise(F.col("n1"))
+    return both.select(doc_id, "license", count.alias("n_units"), F.round(F.coalesce("best0", "best1"), 6).alias("best_dice"))

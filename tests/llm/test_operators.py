@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -165,6 +166,26 @@ def test_licenses(spark, docs, empty):
         assert sum(not words & set(g.split()) for g in grams) < need, name
 
 
+def test_licenses_inside_longer_units(spark):
+    wrapped = "\n * ".join(textwrap.wrap(licenses.TEMPLATES["apache-2.0"], 60))
+    plain = " ".join(f"the cat{k} sat on mat{k} and" for k in range(40))
+    rows = {
+        1: ("apache-2.0-line", "This project is licensed under the Apache License, Version 2.0. See LICENSE for details."),
+        2: ("mit-line", "Released under the MIT License. All rights reserved."),
+        3: ("apache-2.0", f"/* {wrapped} */\nint main() {{ return 0; }}\n{plain}"),
+        4: ("mit", f"{plain} {licenses.TEMPLATES['mit']} {plain}"),
+        5: ("mit-full", licenses.FULL_TEXTS["mit-full"]),
+        6: ("bsd-3-full", f"{plain}\n{licenses.FULL_TEXTS['bsd-3-full']} {plain}"),
+        7: (None, plain), 8: (None, "Released under no license, all rights of the author are reserved."),
+    }
+    frame = spark.createDataFrame([(k, t) for k, (_, t) in rows.items()], "doc_id long, text string")
+    found = {(r.doc_id, r.license): r for r in licenses.license_report(frame).collect()}
+    assert all((k, name) in found for k, (name, _) in rows.items() if name) and not {k for k, _ in found} & {7, 8}
+    assert all(found[k, rows[k][0]].best_dice == 1 for k in (1, 2, 3, 4, 5, 6))
+    twice = spark.createDataFrame([(1, f"{rows[2][1]} {plain} {rows[2][1]}")], "doc_id long, text string")
+    assert [(r.license, r.n_units) for r in licenses.license_report(twice).collect()] == [("mit-line", 2)]
+
+
 @given(st.lists(st.sampled_from(["\\", "<", "/", "s>", "[", "INST]", "</s>", "<|image:1|>", "a", "\n", "<<SYS>>"]), max_size=12).map("".join))
 def test_escapes_are_reversible(text):
     done = chat.escape(text)
