@@ -1,10 +1,10 @@
-"""Named queries of the ten operators and of the pipeline, with SQL where SQL can express them."""
+"""Named queries of the operators and of the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, language, licenses, near_dups, packing, search, secret_scan, toxicity, url_filter
+from . import chat, decontamination, language, licenses, near_dups, packing, repeated_text, search, secret_scan, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,14 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(_table(spark, folder, "documents"), with_ids=False).drop("ids")
 
 
+def op11_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_text.without_repeats(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -185,6 +193,24 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY points DE
 SELECT query_id, rank::INTEGER AS rank, doc_id, points / 1000000.0::DOUBLE AS score FROM ranked WHERE rank <= 10
 """
 
+OP11_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT r, x, unnest(range(0, len(x) // 2 - 399)) AS p FROM docs),
+windows AS (SELECT r, p, md5(substring(x, 2 * p + 1, 800)) AS w FROM places),
+again AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1),
+hits AS (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 400, true) AS fresh FROM windows SEMI JOIN again USING (w)),
+marked AS (SELECT r, p, sum(fresh::INT) OVER (PARTITION BY r ORDER BY p) AS run FROM hits),
+runs AS (SELECT r, min(p) AS s, max(p) + 400 AS e FROM marked GROUP BY r, run),
+gaps AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS f FROM runs),
+sums AS (
+  SELECT r, count(*) AS n, sum(e - s) AS removed, string_agg(substring(x, (2 * f + 1)::BIGINT, (2 * (s - f))::BIGINT), '' ORDER BY s) AS kept, max(e) AS f
+  FROM gaps JOIN docs USING (r) GROUP BY r
+)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(x, (2 * coalesce(f, 0) + 1)::BIGINT))) AS kept_sha256
+FROM docs LEFT JOIN sums USING (r)
+"""
+
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
@@ -196,10 +222,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_toxicity, op3_url_filter, op4_language, op5_licenses, op6_chat, op7_secrets, op8_near_dups, op9_top_search,
-        op10_packing, pipeline,
+        op10_packing, op11_repeats, pipeline,
     )
 }
 ORACLE = {
     "op1_decontamination": OP1_SQL, "op5_licenses": _license_sql(), "op6_chat": _turns_sql(), "op7_secrets": _secrets_sql(),
-    "op8_near_dups": OP8_SQL, "op9_top_search": OP9_SQL,
+    "op8_near_dups": OP8_SQL, "op9_top_search": OP9_SQL, "op11_repeats": OP11_SQL,
 }
