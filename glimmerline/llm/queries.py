@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, language, licenses, near_dups, packing, repeated_text, search, secret_scan, toxicity, url_filter
+from . import chat, decontamination, language, licenses, near_dups, packing, periodic_runs, repeated_text, search, secret_scan, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +75,30 @@ def op11_repeats(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which, where h = crc32(doc_id) is a multiple of 10, the words from a = h / 10 mod n on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    frame = docs.select("doc_id", "text", (h % 10 == 0).alias("planted"), g.alias("g"))
+    words = frame.withColumn("words", F.when(F.col("planted"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    n = F.size("words")
+    placed = words.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    text = F.expr("array_join(transform(words, (w, at) -> words[cast(if(at >= a, a + (at - a) % p, at) as int)]), ' ')")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_periods(_table(spark, folder, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("x"), r["start"], r["period"], r["length"])))
+    row = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(row, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -212,6 +236,39 @@ FROM docs LEFT JOIN sums USING (r)
 """
 
 
+def _crc32_sql(s: str) -> str:
+    """crc32 of an ASCII string, bit by bit."""
+    step = "lambda x, k: xor(x >> 1, 3988292384 * (x & 1))"
+    codes = f"list_transform(range(1, length({s}) + 1), lambda i: ascii(substring({s}, i, 1))::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: list_reduce(range(0, 8), {step}, xor(c, b)), 4294967295::BIGINT), 4294967295)"
+
+
+OP12_SQL = rf"""
+WITH given AS (
+  SELECT row_number() OVER () AS r, doc_id, {_crc32_sql('doc_id::VARCHAR')} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+cut AS (SELECT r, doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS f FROM given),
+docs AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // f) ELSE i END]) END AS w FROM cut
+),
+words AS (SELECT r, n, unnest(w) AS x, unnest(range(0, n)) AS i FROM docs),
+same AS (SELECT a.r, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+isles AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS isle FROM same),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM isles GROUP BY r, q, isle HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, s, l, min(q) AS q FROM stretches GROUP BY r, s, l),
+sums AS (
+  SELECT r, count(*) AS n, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed,
+    list({{'s': s, 'l': l, 'q': q}} ORDER BY l::DOUBLE / q DESC, s, q)[1] AS best, list({{'s': s, 'l': l, 'q': q}}) AS every
+  FROM runs GROUP BY r
+),
+gone AS (SELECT DISTINCT r, unnest(range(e.s + e.q, e.s + e.l)) AS i FROM (SELECT r, unnest(every) AS e FROM sums)),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(sums.n, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period,
+  (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -222,10 +279,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_toxicity, op3_url_filter, op4_language, op5_licenses, op6_chat, op7_secrets, op8_near_dups, op9_top_search,
-        op10_packing, op11_repeats, pipeline,
+        op10_packing, op11_repeats, op12_periods, pipeline,
     )
 }
 ORACLE = {
     "op1_decontamination": OP1_SQL, "op5_licenses": _license_sql(), "op6_chat": _turns_sql(), "op7_secrets": _secrets_sql(),
-    "op8_near_dups": OP8_SQL, "op9_top_search": OP9_SQL, "op11_repeats": OP11_SQL,
+    "op8_near_dups": OP8_SQL, "op9_top_search": OP9_SQL, "op11_repeats": OP11_SQL, "op12_periods": OP12_SQL,
 }
