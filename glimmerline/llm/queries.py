@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import chat, decontamination, language, licenses, near_dups, packing, periodic_runs, repeated_text, search, secret_scan, toxicity, url_filter
+from . import chat, decontamination, language, licenses, near_dups, packing, periodic_runs, prefix_trie, repeated_text, search, secret_scan, toxicity, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -99,6 +99,32 @@ def op12_periods(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def with_shared_beginnings(given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conversations rebuilt from keyed turns, all their ids).
+
+    Conversation c begins with the first h = crc32(c) mod 9 turns of conversation c - c mod 5; its own turns follow from the
+    (h + 1)-th on. Of a long conversation only its first eight turns travel to others.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "key")
+    placed = given.filter("conv_id is not null").select("conv_id", F.row_number().over(order).cast("long").alias("at"), "key", "size")
+    taken = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    ids = given.filter("conv_id is not null").select("conv_id").distinct()
+    heads = placed.filter("at <= 8").withColumnRenamed("conv_id", "base")
+    asked = ids.withColumns({"base": F.col("conv_id") - F.col("conv_id") % 5, "taken": taken})
+    first = asked.join(heads, "base").filter("at <= taken").select("conv_id", "at", "key", "size")
+    return first.unionByName(placed.filter(F.col("at") > taken)), ids
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    given = prefix_trie.turn_keys(_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    turns, ids = with_shared_beginnings(given.select("conv_id", "turn", "key", "size"))
+    trie = prefix_trie.prefix_trie(turns, turn="at", ids=ids)
+    return trie.nodes.join(prefix_trie.end_digests(trie.ends), ["d1", "d2"], "left").select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"),
+    )
+
+
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -268,6 +294,32 @@ SELECT doc_id, coalesce(sums.n, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, b
 FROM docs LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
 """
 
+OP13_SQL = rf"""
+WITH placed AS (
+  SELECT conv_id AS c, coalesce(role, '') AS ro, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+ids AS (SELECT c, c - c % 5 AS base, {_crc32_sql('c::VARCHAR')} % 9 AS h FROM (SELECT DISTINCT c FROM placed)),
+rebuilt AS (
+  SELECT ids.c, i, ro, t FROM ids JOIN placed ON placed.c = base WHERE i <= h
+  UNION ALL SELECT ids.c, i, ro, t FROM ids JOIN placed ON placed.c = ids.c WHERE i > h
+),
+ways AS (SELECT c, coalesce(list({{'r': ro, 't': t}} ORDER BY i) FILTER (i IS NOT NULL), []) AS l FROM ids LEFT JOIN rebuilt USING (c) GROUP BY c),
+steps AS (SELECT c, len(l) AS n, unnest(range(0, len(l) + 1)) AS d, l FROM ways),
+paths AS (SELECT c, n, d, l[1:d] AS p, CASE WHEN d > 0 THEN l[1:d - 1] END AS q, CASE WHEN d > 0 THEN strlen(l[d].t) ELSE 0 END AS size FROM steps),
+nodes AS (
+  SELECT d, p, min(c) AS c, count(*) AS n_convs, any_value(q) AS q, any_value(size) AS size, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d) AS ends
+  FROM paths GROUP BY d, p
+),
+kids AS (SELECT q AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY q),
+whole AS (SELECT d, p, c, n_convs, q, ends, coalesce(n_children, 0) AS n_children, (n_convs - 1) * size AS own FROM nodes LEFT JOIN kids USING (p)),
+up AS (SELECT unnest(range(0, d + 1)) AS k, p, n_children, own FROM whole),
+sums AS (SELECT p[1:k] AS p, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS saved FROM up GROUP BY p[1:k])
+SELECT w.c::BIGINT AS conv_id, w.d::BIGINT AS depth, a.c::BIGINT AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM whole w JOIN sums ON sums.p = w.p LEFT JOIN nodes a ON a.p = w.q AND w.d > 0
+"""
+
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
@@ -279,10 +331,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_toxicity, op3_url_filter, op4_language, op5_licenses, op6_chat, op7_secrets, op8_near_dups, op9_top_search,
-        op10_packing, op11_repeats, op12_periods, pipeline,
+        op10_packing, op11_repeats, op12_periods, op13_prefix_trie, pipeline,
     )
 }
 ORACLE = {
     "op1_decontamination": OP1_SQL, "op5_licenses": _license_sql(), "op6_chat": _turns_sql(), "op7_secrets": _secrets_sql(),
-    "op8_near_dups": OP8_SQL, "op9_top_search": OP9_SQL, "op11_repeats": OP11_SQL, "op12_periods": OP12_SQL,
+    "op8_near_dups": OP8_SQL, "op9_top_search": OP9_SQL, "op11_repeats": OP11_SQL, "op12_periods": OP12_SQL, "op13_prefix_trie": OP13_SQL,
 }
