@@ -5,9 +5,9 @@ strings of `length` bytes, are therefore dealt by content: a window belongs to
 its least-hashed gram of k bytes (winnowing, Schleimer et al., 2003), so that
 equal windows belong to equal grams. Windows of a text that share one gram make
 a segment. Segments of a gram that occurs once hold nothing repeated; the
-others are reduced to distinct texts with a count, and the texts of each gram
+others are reduced to distinct texts with a count. The unlike texts of a gram
 form one string, in whose suffix array (`suffix_groups`) equal windows are
-neighbours.
+neighbours; a gram with one text has nothing to compare, its count says all.
 
 A gram may stand in any number of different texts, as the heart of a common
 passage does. Texts of such a gram are dealt again by longer grams, of which
@@ -29,7 +29,7 @@ from .suffix_groups import suffix_arrays
 from .tables import stored, with_type_of
 from .words import mix
 
-_BLOCK = 1 << 20  # window starts that are read at once
+_BLOCK = 1 << 18  # window starts that are read at once
 _FACTOR = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: list[np.ndarray] = []
@@ -171,7 +171,7 @@ def repeated_windows(texts: list[bytes], groups: np.ndarray, length: int) -> np.
     return found - (np.searchsorted(starts, found, "right") - 1)
 
 
-def _finder(length: int, batch_bytes: int = 1 << 20):
+def _finder(length: int, batch_bytes: int = 1 << 19):
     """Rows (key, f1, f2, n, bytes), sorted by key, to rows (f1, f2, lo, hi): repeated windows of each text."""
 
     def run(batches: Iterator) -> Iterator:
@@ -217,12 +217,14 @@ def _repeats(texts: DataFrame, length: int, grams: tuple[int, ...], most: int) -
     unlike = shared.groupBy("key", "f1", "f2").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "lo", "hi")).alias("at"))
     counts = unlike.groupBy("key").agg(F.count("*").alias("texts"))
     part = F.struct("key", "f1", "f2", "n", "texts", "at.lo", "at.hi")
-    wanted = unlike.join(counts, "key").groupBy("at.a", "at.b").agg(F.collect_list(part).alias("parts"))  # at most a document's segments
+    placed = stored(unlike.join(counts, "key").select("key", "f1", "f2", "n", "texts", "at"), "unlike")
+    alone = placed.filter("texts = 1").select("f1", "f2", F.lit(0).cast("long").alias("lo"), (F.col("at.hi") - F.col("at.lo")).alias("hi"))
+    wanted = placed.filter("texts > 1").groupBy("at.a", "at.b").agg(F.collect_list(part).alias("parts"))  # at most a document's segments
     pieces = stored(
         texts.join(wanted, ["a", "b"]).select("bytes", "parts").mapInArrow(_slicer(length), "key long, f1 long, f2 long, n long, texts long, bytes binary"), "pieces"
     )
     small = spread_out(pieces.filter(F.col("texts") <= most).select("key", "f1", "f2", "n", "bytes"), "key").sortWithinPartitions("key", "f1", "f2")
-    found = small.mapInArrow(_finder(length), "f1 long, f2 long, lo long, hi long")
+    found = alone.unionByName(small.mapInArrow(_finder(length), "f1 long, f2 long, lo long, hi long"))
     hot = pieces.filter(F.col("texts") > most).select(F.col("f1").alias("a"), F.col("f2").alias("b"), "n", "bytes")
     if len(grams) > 1 and not hot.isEmpty():
         finer = _repeats(stored(hot.dropDuplicates(["a", "b"]), "hot"), length, grams[1:], most)
