@@ -186,9 +186,11 @@ FROM turns GROUP BY conv_id
 
 def _secrets_sql() -> str:
     def found(rank: int, rule: secret_scan.Rule) -> str:
-        pattern = rule.pattern.replace("'", "''")
+        pattern = (rule.sql or rule.pattern).replace("'", "''")
+        group = lambda k: f"regexp_extract_all(text, '{pattern}', {k})"
+        span = f"list_transform(list_zip({group(1)}, {group(2)}, {group(3)}), lambda g: coalesce(g[1], '') || coalesce(g[2], '') || coalesce(g[3], ''))" if rule.sql else group(0)
         return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, string_split_regex(text, '{pattern}') AS gaps,
-  regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {rule.group}) AS parts, {rule.least} AS least FROM documents"""
+  {group(0)} AS hits, {span} AS own, {group(rule.group)} AS parts, {rule.least} AS least FROM documents"""
 
     rules = " UNION ALL ".join(found(k, r) for k, r in enumerate(secret_scan.RULES))
     return rf"""
@@ -196,7 +198,7 @@ WITH found AS ({rules}),
 each AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found),
 spans AS (
   SELECT doc_id, rank, kind, len(parts[i]) >= least AS real,
-    coalesce(list_sum(list_transform(gaps[1:i], lambda g: len(g))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: len(h))), 0) AS start, len(hits[i]) AS size
+    coalesce(list_sum(list_transform(gaps[1:i], lambda g: len(g))), 0) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: len(h))), 0) AS start, len(own[i]) AS size
   FROM each
 ),
 named AS (SELECT doc_id, rank, start::BIGINT AS start, kind || ':' || start::BIGINT || ':' || (start + size)::BIGINT AS span FROM spans WHERE real),

@@ -20,12 +20,16 @@ SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """`pattern` holds for Java and Python; matches whose `group` has fewer than `least` characters are dropped."""
+    """`pattern` holds for Java and Python; matches whose `group` has fewer than `least` characters are dropped.
+
+    `sql` is a form of it without possessive repeats and look-around, whose groups 1 to 3 hold the span, where `pattern` has these.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    sql: str = ""
 
 
 #: Kinds and patterns of the base rules, in the order that ties follow.
@@ -36,16 +40,29 @@ BASE_RULES = (
 )
 #: What may stand between the runs of a key's body: white space, also as escapes, quotes and marks at the start of a line.
 _GAP = r"""(?:\\+[nrt]|[\x09-\x0D\x20"'`+>#*|,;/\\])*+"""
-#: A key from BEGIN to END; without END to the end of its body: headers of encrypted keys, long runs of base64 and the rest of the last line.
-#: All repeats are possessive, so a text is read once and Java's matcher doesn't recurse.
-_KEY = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z ]*PRIVATE KEY-----"
-    rf"|(?:{_GAP}(?:Proc-Type:\x20*+[0-9]++,[A-Z]++|DEK-Info:\x20*+[A-Z0-9-]++,[0-9A-Fa-f]++))*+"
-    rf"(?:{_GAP}[A-Za-z0-9+/]{{20,}}+={{0,2}}+)*+(?:(?<=[A-Za-z0-9+/]{{20}}){_GAP}[A-Za-z0-9+/]++={{0,2}}+(?![^\x09-\x0D\"'`\\]))?+)"
+_BEGIN, _END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----END [A-Z ]*PRIVATE KEY-----"
+_HEADS = rf"(?:{_GAP}(?:Proc-Type:\x20*+[0-9]++,[A-Z]++|DEK-Info:\x20*+[A-Z0-9-]++,[0-9A-Fa-f]++))*+"
+_RUN, _REST = rf"{_GAP}[A-Za-z0-9+/]{{20,}}+={{0,2}}+", r"[A-Za-z0-9+/]++={0,2}+"
+_BREAK = r"(?:\\+[nrt]|[\x09-\x0D\x20\"'`+>#*|,;/\\])"
+#: A key is BEGIN, headers of encrypted keys, long runs of base64 and a shorter rest before END. Without END the rest must close its line.
+#: Anything else, as prose that only names BEGIN and END, is no body and stays out. All repeats are possessive, so a text is read once and
+#: Java's matcher doesn't recurse.
+_KEY = rf"{_BEGIN}{_HEADS}(?:(?:{_RUN})++(?:(?:{_GAP}{_REST})?+{_GAP}{_END}|{_BREAK}{_GAP}{_REST}(?![^\x09-\x0D\"'`\\]))?+|{_GAP}{_END})?+"
+
+
+def _plain(pattern: str) -> str:
+    """Greedy repeats for possessive ones."""
+    return re.sub(r"(?<!\\)([*+?}])\+", r"\1", pattern)
+
+
+#: The same spans for a matcher without possessive repeats and look-around, as group 1, 2 or 3.
+_KEY_SQL = _plain(
+    rf"({_BEGIN}{_HEADS}(?:(?:{_RUN})++(?:{_GAP}{_REST})?+)?+{_GAP}{_END})"
+    rf"|({_BEGIN}{_HEADS}(?:{_RUN})++{_BREAK}{_GAP}{_REST})(?:[\x09-\x0D\"'`\\]|$)|({_BEGIN}{_HEADS}(?:{_RUN})*+)"
 )
 #: Further kinds, by the published forms of such keys.
 MORE_RULES = (
-    Rule("private_key", _KEY),
+    Rule("private_key", _KEY, sql=_KEY_SQL),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -194,21 +211,27 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
     Spans are code points, end exclusive; a rule's own spans don't overlap.
     Null and empty texts have none. Rows that share an id are candidates if
     any of them is, and each is searched by itself; null ids are one id here.
+    A column of `docs` that is named as `out` is replaced; others stay, whatever
+    their names.
     """
+    docs = docs.drop(out)
+    asked_rules, candidate = (f"{out} {name} {len(docs.columns)}" for name in ("rules", "candidate"))  # a free name
+    while any(c.lower() in (asked_rules.lower(), candidate.lower()) for c in docs.columns):
+        asked_rules, candidate = f"{asked_rules}_", f"{candidate}_"
     frame = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     queries = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     if queries:
-        found = _candidates(frame, queries).select(F.col("id").alias(f"{out}_candidate"), F.col("rules").alias(f"{out}_rules"))
-        docs = docs.join(found, docs[doc_id].eqNullSafe(found[f"{out}_candidate"]), "left").drop(f"{out}_candidate")
+        found = _candidates(frame, queries).select(F.col("id").alias(candidate), F.col("rules").alias(asked_rules))
+        docs = docs.join(found, docs[doc_id].eqNullSafe(found[candidate]), "left").drop(candidate)
     else:
-        docs = docs.withColumn(f"{out}_rules", F.array().cast("array<int>"))
+        docs = docs.withColumn(asked_rules, F.array().cast("array<int>"))
     body = F.coalesce(F.col(text), F.lit(""))
-    asked = F.coalesce(f"{out}_rules", F.array().cast("array<int>"))
+    asked = F.coalesce(F.col(f"`{asked_rules}`"), F.array().cast("array<int>"))
     each = [
         F.when(F.array_contains(asked, k), _matches(body, r, k)).otherwise(F.array().cast(SPANS)) if k in queries else _matches(body, r, k)
         for k, r in enumerate(rules)
     ]
-    return docs.withColumn(out, F.array_sort(F.concat(*each))).drop(f"{out}_rules")
+    return docs.withColumn(out, F.array_sort(F.concat(*each))).drop(asked_rules)
 
 
 def listed(spans: Column) -> Column:

@@ -6,13 +6,15 @@ import re
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from glimmerline.llm import chat, decontamination, language, licenses, near_dups, packing, search, secret_scan, toxicity, url_filter
+from glimmerline.llm import chat, decontamination, language, licenses, near_dups, packing, queries, search, secret_scan, toxicity, url_filter
 from glimmerline.llm.words import BLANKS, LETTERS, blocks, hashed_words
+from tests.oracle import compare
 
 LONG = " ".join(f"word{k % 9173}" for k in range(60_000))
 ROWS = [
@@ -219,11 +221,14 @@ def test_secret_spans(spark, empty):
     for r in secret_scan.secret_spans(frame).collect():
         assert [tuple(s) for s in r.secret_spans] == secret_scan.python_spans(r.text), r.text
     assert secret_scan.secret_spans(empty).count() == 0
+    clash = frame.selectExpr("doc_id", "text", "1 AS secret_spans", "2 AS secret_spans_rules", "3 AS `secret_spans rules 4`", "4 AS rules", "5 AS trigram")
+    some = secret_scan.secret_spans(clash).filter("doc_id = 1").first()
+    assert [tuple(s) for s in some.secret_spans] == secret_scan.python_spans(SECRETS[1]) and (some["secret_spans_rules"], some["rules"], some["trigram"]) == (2, 4, 5)
     assert secret_scan.trigram_query("[0-9a-f]{32,}") == []
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [{frozenset({"aki", "kia"})}]
 
 
-def test_private_keys_are_masked_whole(spark):
+def test_private_keys_are_masked_whole(spark, tmp_path):
     rng = np.random.default_rng(11)
     run = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
     lines = [run(64) for _ in range(25)] + [run(30) + "=="]
@@ -234,13 +239,19 @@ def test_private_keys_are_masked_whole(spark):
         ("\n".join([begin, *lines, end]), "\nAfter it."), ("\r\n".join([begin, *lines, end]), "\r\n"), ("\\n".join([begin, *lines, end]), '\\n", "b": 1'),
         (f"{begin}\n{sealed}" + "\n".join([*lines, end]), " x"), ("\n".join([begin, *lines]), ""), ("\n".join([begin, *lines]), "\n\nSome words, then more."),
         (f"{begin}\n{sealed}" + "\n".join(lines), "\n-- \nMe"), (" ".join([begin, *lines, end]), " after"), ("\n> ".join([begin, *short]), "\n\nSome words."),
-        (begin, " heads such a key."), ("\n".join([begin, *[run(64) for _ in range(20_000)], end]), "\nlong"), ("\n".join([begin, *[run(64) for _ in range(20_000)]]), "\n<end>"),
+        (begin, " heads such a key."), (begin, " heads it; " + "some prose, and more of it. " * 70 + end + " closes it."), (begin, " and " + end),
+        ("\n".join([begin, *lines]), "\nA word.\n" + end), ("\n".join([begin, *lines, run(19)]), ""), ("\n".join([begin, *lines]), "\nword. x"),
+        (f"{begin}\n{end}", " is empty"), (f"{begin}\n{run(20)}\n{run(12)}\n{end}", "."), (begin, f"\n{run(12)}\n{end}."), ("\n".join([begin, *[run(64) for _ in range(20_000)], end]), "\nlong"), ("\n".join([begin, *[run(64) for _ in range(20_000)]]), "\n<end>"),
     ]
     frame = spark.createDataFrame([(k, "Before: " + key + rest) for k, (key, rest) in enumerate(cases)], "doc_id long, text string")
     found = secret_scan.secret_spans(frame).withColumn("masked", secret_scan.masked(F.col("text"), F.col("secret_spans"))).collect()
     for r in found:
         assert r.masked == "Before: [private_key]" + cases[r.doc_id][1], r.doc_id
         assert [tuple(s) for s in r.secret_spans] == secret_scan.python_spans(r.text), r.doc_id
+    frame.select("doc_id", "text").toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet')")
+    assert compare(spark, con, str(tmp_path), "op7_secrets", queries.op7_secrets, queries.ORACLE["op7_secrets"]) is None
     assert secret_scan.trigram_query(secret_scan.pattern_of("private_key")) == secret_scan.trigram_query(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 
 
