@@ -162,11 +162,11 @@ def _feed_bodies(spark, folder) -> DataFrame:
     "feed_candidates",
     f"""
     WITH {_P} SELECT page, i AS item, 'https://shop.example/o/' || o_orderkey AS url, (90 - i)::BIGINT AS priority, 'Order ' || o_orderkey AS title,
-      strftime(o_orderdate, '%Y-%m-%d 06:00:00') AS published, 'Worth <b> ' || o_orderpriority AS snippet FROM p WHERE i < 6 AND o_orderkey % 7 <> 0
+      strftime(o_orderdate, '%Y-%m-%d 06:00:00') AS published, 'Worth <b> ' || o_orderpriority AS snippet FROM p WHERE o_orderkey % 7 <> 0
     """,
 )
 def feed_candidates_query(spark, folder):
-    return feed_candidates(_feed_bodies(spark, folder), 6).select(
+    return feed_candidates(_feed_bodies(spark, folder)).select(
         "page", big(F.col("item")).alias("item"), "url", big(F.col("priority")).alias("priority"), "title", text_of(F.col("published_at")).alias("published"), "snippet"
     )
 
@@ -185,13 +185,12 @@ def feed_records_query(spark, folder):
 @query(
     "sitemap_candidates",
     """
-    WITH o AS (SELECT *, o_orderkey // 8 AS page, o_orderkey // 32 AS root FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY o_orderkey) AS n,
-      row_number() OVER (PARTITION BY page ORDER BY o_orderkey) - 1 AS i FROM o)
-    SELECT 'root' || root AS source_id, 'https://shop.example/o/' || o_orderkey AS url, (80 - i)::BIGINT AS priority, strftime(o_orderdate, '%Y-%m-%d') AS lastmod FROM r WHERE n <= 12
+    WITH o AS (SELECT *, o_orderkey // 8 AS page, o_orderkey // 32 AS root FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY o_orderkey) - 1 AS i FROM o)
+    SELECT 'root' || root AS source_id, 'https://shop.example/o/' || o_orderkey AS url, (80 - i)::BIGINT AS priority, strftime(o_orderdate, '%Y-%m-%d') AS lastmod FROM r
     """,
 )
 def sitemap_candidates_query(spark, folder):
-    """Index files of four sitemaps each."""
+    """Index files of four sitemaps each, all landed twice."""
     k = F.col("o_orderkey").cast("string")
     entry = s("<url><loc>https://shop.example/o/", k, "</loc><lastmod>", F.date_format("o_orderdate", "yyyy-MM-dd"), "</lastmod></url>")
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
@@ -204,7 +203,7 @@ def sitemap_candidates_query(spark, folder):
         s(f"<sitemapindex {ns}>", F.array_join(F.transform("m", lambda x: s("<sitemap><loc>", x["sitemap_url"], "</loc></sitemap>")), ""), "</sitemapindex>").alias("body"),
     )
     landed = leaves.select("sitemap_url", "body").unionByName(roots.select("sitemap_url", "body"))
-    out = sitemap_candidates(roots.select("source_id", "sitemap_url"), landed, 12)
+    out = sitemap_candidates(roots.select("source_id", "sitemap_url"), landed.unionByName(landed))
     return out.select("source_id", "url", big(F.col("priority")).alias("priority"), "lastmod")
 
 
@@ -302,7 +301,7 @@ def social_records_query(spark, folder):
     "comment_context",
     """
     WITH c AS (SELECT conv_id, role, trim(text, ' ' || chr(10)) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
-    SELECT t.conv_id, trim(t.text, ' ' || chr(10)) || coalesce(chr(10) || chr(10) || '--- comments ---' || chr(10) || (SELECT string_agg('- @' || role || ': ' || substring(body, 1, 500), chr(10) ORDER BY n) FROM c WHERE c.conv_id = t.conv_id AND n <= 12 AND body <> ''), '') AS text
+    SELECT t.conv_id, trim(t.text, ' ' || chr(10)) || coalesce(chr(10) || chr(10) || '--- comments ---' || chr(10) || (SELECT string_agg('- @' || role || ': ' || body, chr(10) ORDER BY n) FROM c WHERE c.conv_id = t.conv_id AND body <> ''), '') AS text
     FROM conversations t WHERE turn = 0
     """,
 )
@@ -310,7 +309,7 @@ def comment_context(spark, folder):
     c = table(spark, folder, "conversations")
     rows = c.select(F.col("conv_id").cast("string").alias("external_id"), F.col("turn").alias("at"), F.col("role").alias("author"), F.col("text").alias("body"))
     posts = c.filter("turn = 0").select(F.col("conv_id").cast("string").alias("external_id"), "text")
-    return with_comments(posts, comment_lines(rows, 12, 500)).select(F.col("external_id").cast("bigint").alias("conv_id"), "text")
+    return with_comments(posts, comment_lines(rows)).select(F.col("external_id").cast("bigint").alias("conv_id"), "text")
 
 
 @query(
@@ -548,7 +547,7 @@ def stamped_candidates(spark, folder):
 
 
 def discovery_run(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """Suppliers as sources with a feed, a REST list and a listing page each; bodies from their parts."""
+    """Suppliers as sources with a feed, landed twice, a REST list and a listing page each; bodies from their parts."""
     k = F.col("s_suppkey").cast("string")
     sup = table(spark, folder, "supplier").select("s_suppkey", F.row_number().over(_by("s_nationkey", "s_suppkey")).alias("r"))
     sources = scan_sources(
@@ -561,9 +560,8 @@ def discovery_run(spark, folder) -> tuple[DataFrame, DataFrame]:
         )
     )
     rows = table(spark, folder, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("n")).distinct()
-    first = rows.withColumn("at", F.row_number().over(_by("l_suppkey", "n"))).filter("at <= 4")
     lk = F.col("l_suppkey").cast("string")
-    feeds = first.groupBy("l_suppkey").agg(F.array_sort(F.collect_list("n")).alias("ns")).select(
+    feeds = rows.groupBy("l_suppkey").agg(F.array_sort(F.collect_list("n")).alias("ns")).select(
         s("https://s", lk, ".example/rss").alias("url"),
         s("<rss><channel>", F.array_join(F.transform("ns", lambda n: s("<item><title>t</title><link>https://s", lk, ".example/n/", n.cast("string"), "</link></item>")), ""), "</channel></rss>").alias("body"),
         s("https://s", lk, ".example/api").alias("api"),
@@ -571,7 +569,7 @@ def discovery_run(spark, folder) -> tuple[DataFrame, DataFrame]:
     )
     apis = feeds.select(F.col("api").alias("url"), F.col("api_body").alias("body"))
     none = feeds.select("url", "body").limit(0)
-    return discover(sources, feeds.select("url", "body"), none, apis, max_candidates=None)
+    return discover(sources, feeds.select("url", "body").unionByName(feeds.select("url", "body")), none, apis, max_candidates=None)
 
 
 def _by(key: str, order: str):
@@ -581,7 +579,7 @@ def _by(key: str, order: str):
 
 
 _DISC_SQL = """
-l AS (SELECT DISTINCT l_suppkey AS k, l_orderkey AS n FROM lineitem), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS place FROM l QUALIFY place <= 4)
+l AS (SELECT DISTINCT l_suppkey AS k, l_orderkey AS n FROM lineitem), f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n) AS place FROM l)
 """
 
 
@@ -601,7 +599,7 @@ def official_discovery(spark, folder):
     """
     WITH s AS (SELECT 's' || s_suppkey AS source_id, CASE WHEN s_suppkey % 2 = 1 THEN 3 WHEN s_suppkey % 3 = 0 THEN 1 ELSE 2 END AS attempted,
       CASE WHEN s_suppkey % 2 = 1 THEN (CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 2 END) ELSE 1 END AS succeeded FROM supplier)
-    SELECT source_id, attempted::BIGINT AS attempted, succeeded::BIGINT AS succeeded, 0::BIGINT AS errors FROM s UNION ALL SELECT NULL, sum(attempted), sum(succeeded), 0 FROM s
+    SELECT source_id, false AS of_all, attempted::BIGINT AS attempted, succeeded::BIGINT AS succeeded, 0::BIGINT AS errors FROM s UNION ALL SELECT NULL, true, sum(attempted), sum(succeeded), 0 FROM s
     """,
 )
 def discovery_report(spark, folder):

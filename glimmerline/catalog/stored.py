@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..sources.store import (
     append_attempts, compact_table, current_runs, document_rows, layer_rows, read_layer, read_table, save_layer, upsert, upsert_table, widen,
 )
-from ..streaming.intake import append_to, drop_repeats, health_each, read_landing, upsert_each
+from ..streaming.intake import append_new, health_each, read_landing, read_new, upsert_each
 from .base import big, joined, query, table, text_of
 
 RUNS = 5
@@ -432,7 +432,7 @@ def document_health_query(spark, folder):
 
 @query(
     "attempt_report",
-    "SELECT user_id::VARCHAR AS source_id, count(*) AS attempted, count(*) FILTER (event_type NOT IN ('error', 'view')) AS succeeded, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ROLLUP (user_id)",
+    "SELECT user_id::VARCHAR AS source_id, grouping(user_id) = 1 AS of_all, count(*) AS attempted, count(*) FILTER (event_type NOT IN ('error', 'view')) AS succeeded, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ROLLUP (user_id)",
 )
 def attempt_report(spark, folder):
     e = table(spark, folder, "events").select(
@@ -461,8 +461,8 @@ def stream_first_keys(spark, folder):
     stream = _event_stream(spark, folder).select(key.alias("idempotency_key"), F.col("ts").cast("timestamp").alias("fetched_at"))
     out, checkpoint = scratch_path(spark, "keys"), scratch_path(spark, "keys-cp")
     for _ in range(2):  # the second poll finds nothing new
-        append_to(drop_repeats(stream, delay="3650 days"), out, checkpoint).awaitTermination()
-    return spark.read.schema("idempotency_key string, fetched_at timestamp").parquet(out).select("idempotency_key")
+        append_new(stream, out, checkpoint).awaitTermination()
+    return read_new(spark, out, "idempotency_key string, fetched_at timestamp").select("idempotency_key")
 
 
 @query("stream_health", _HEALTH_SQL)

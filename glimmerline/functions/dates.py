@@ -82,9 +82,9 @@ def parse_title_date(title: Column) -> Column:
 
 
 def parse_changelog_date(text: Column) -> Column:
-    """T-D6: date of the first dated line among the first 80 lines."""
+    """T-D6: date of the first dated line."""
     line = r"(?isU)^\s*((?:" + MONTHS + r")[a-z]*\s+\d{1,2},\s+\d{4}|\d{4}-\d{2}-\d{2})\s*[:\-–]?\s*(.+)$"
-    lines = F.slice(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"), 1, 80)
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]")
     dates = F.filter(
         F.transform(F.filter(lines, lambda x: x.rlike(line)), lambda x: _any_date(F.regexp_extract(x, line, 1))),
         lambda d: d.isNotNull(),

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .fetching import CHALLENGES
-from .ordering import one_row, row_count
+from .ordering import one_row, row_count, with_positions
 
 # the score moves in steps of 0.05: +6, +2 or -1 step, held between 0 and 20
 TOP = 20
@@ -21,56 +18,41 @@ def health_step(block_type: Column, success: Column) -> Column:
     )
 
 
-def _fold_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each source's stretch of a sorted partition as one clamped shift.
+def _composed(shifts: Column) -> Column:
+    """Clamped shifts, each s -> min(high, max(low, s + add)), one after the other as one such shift."""
+    none = F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in (("add", 0), ("low", 0), ("high", TOP))])
+    held = lambda x, r: F.least(r["high"], F.greatest(r["low"], x + r["add"]))
+    return F.aggregate(
+        shifts, none,
+        lambda s, r: F.struct((s["add"] + r["add"]).alias("add"), held(s["low"], r).alias("low"), held(s["high"], r).alias("high")),
+    )
 
-    Any run of steps acts on a start value s as min(high, max(low, s + add)).
-    Such maps compose, so a source may span many partitions.
-    """
-    current, add, low, high, at = None, 0, 0, TOP, None
-    out: list[tuple] = []
-    for pdf in batches:
-        for sid, step, place in zip(pdf["source_id"].tolist(), pdf["step"].tolist(), pdf["place"].tolist()):
-            if sid != current:
-                if current is not None:
-                    out.append((current, at, add, low, high))
-                current, add, low, high, at = sid, 0, -(10**9), 10**9, place
-            if step > 0:
-                low, high, add = min(low + step, TOP), min(high + step, TOP), add + step
-            elif step < 0:
-                low, high, add = max(low + step, 0), max(high + step, 0), add + step
-    if current is not None:
-        out.append((current, at, add, low, high))
-    yield pd.DataFrame(out, columns=["source_id", "place", "add", "low", "high"])
-
-
-def anti_bot_scores(steps: DataFrame, start: DataFrame | None = None) -> DataFrame:
+
+def anti_bot_scores(steps: DataFrame, start: DataFrame | None = None, bits: int = 12) -> DataFrame:
     """Ordered fold of (source_id, ts, pos, step) rows to a score per source.
 
-    Range partitioning on (source, time, pos) splits a hot source over tasks;
-    each stretch becomes one row, and a source's few rows are applied in order.
+    One step is a clamped shift of the score, and shifts compose. Rows get
+    their position in the order of source, time and pos; each level folds the
+    rows of a source whose positions share all but the low `bits` into one
+    shift, so no group has more than 2**bits rows, however many a source has.
+    Four levels cover 2**(4 * bits) rows.
     """
-    sorted_rows = (
-        steps.select("source_id", "ts", "pos", "step")
-        .repartitionByRange("source_id", "ts", "pos")
-        .sortWithinPartitions("source_id", "ts", "pos")
-        .select("source_id", "step", F.struct("ts", "pos").alias("place"))
-        .select("source_id", "step", F.concat_ws("|", F.lpad(F.unix_micros("place.ts").cast("string"), 20, "0"),
-                                                 F.lpad(F.col("place.pos").cast("string"), 20, "0")).alias("place"))
-    )
-    runs = sorted_rows.mapInPandas(_fold_runs, "source_id string, place string, add long, low long, high long")
-    folded = runs.groupBy("source_id").agg(
-        F.array_sort(F.collect_list(F.struct("place", "add", "low", "high"))).alias("runs")
+    placed = with_positions(steps.select("source_id", "ts", "pos", "step"), ["source_id", "ts", "pos"], "at")
+    shifts = placed.select(
+        "source_id", F.col("at").cast("bigint").alias("at"), F.col("step").cast("bigint").alias("add"),
+        F.lit(0).cast("bigint").alias("low"), F.lit(TOP).cast("bigint").alias("high"),
     )
+    for _ in range(4):
+        folded = shifts.groupBy("source_id", F.shiftright("at", bits).alias("chunk")).agg(
+            F.array_sort(F.collect_list(F.struct("at", "add", "low", "high"))).alias("shifts")
+        )
+        shifts = folded.select("source_id", F.col("chunk").alias("at"), _composed(F.col("shifts")).alias("s")).select("source_id", "at", "s.*")
     if start is not None:
-        folded = folded.join(start.select("source_id", F.round(F.col("anti_bot_score") * TOP).cast("bigint").alias("s0")), "source_id", "left")
+        shifts = shifts.join(start.select("source_id", F.round(F.col("anti_bot_score") * TOP).cast("bigint").alias("s0")), "source_id", "left")
     else:
-        folded = folded.withColumn("s0", F.lit(0).cast("bigint"))
-    end = F.aggregate(
-        "runs", F.coalesce("s0", F.lit(0).cast("bigint")),
-        lambda s, r: F.least(r["high"], F.greatest(r["low"], s + r["add"])),
-    )
-    return folded.select("source_id", (end / TOP).alias("anti_bot_score"))
+        shifts = shifts.withColumn("s0", F.lit(0).cast("bigint"))
+    end = F.least("high", F.greatest("low", F.coalesce("s0", F.lit(0).cast("bigint")) + F.col("add")))
+    return shifts.select("source_id", (end / TOP).alias("anti_bot_score"))
 
 
 def source_health(results: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -143,8 +125,12 @@ def document_health(docs: DataFrame) -> DataFrame:
 
 
 def discovery_report(attempts: DataFrame) -> DataFrame:
-    """Rows (source_id, found, error) to counts per source and in total."""
+    """Rows (source_id, found, error) to counts per source and in total.
+
+    `of_all` marks the total; without it a null source is attempts of no source.
+    """
     return attempts.rollup("source_id").agg(
+        (F.grouping_id() == 1).alias("of_all"),
         F.count("*").alias("attempted"), F.count_if(F.col("error").isNull() & (F.col("found") > 0)).alias("succeeded"),
         F.count("error").alias("errors"),
     )

@@ -36,13 +36,16 @@ def search_discovery(
     return top_candidates(route_candidates(scored, min_score), top), results
 
 
-def social_batches(sources: DataFrame, payloads: DataFrame, comments: DataFrame) -> dict[str, DataFrame]:
+def social_batches(
+    sources: DataFrame, payloads: DataFrame, comments: DataFrame, max_comments: int | None = None, comment_chars: int | None = None
+) -> dict[str, DataFrame]:
     """Records, fallback records and health of the enabled social sources.
 
     `payloads(source_id, source_type, platform, form, item, body, error)` are
     landed responses; `comments(external_id, at, author, body, failed)` the
     landed comment rows. Items whose enrichment failed fall back to what
-    discovery knows when the source allows it.
+    discovery knows when the source allows it. A source's `max_items`, where it
+    names one, bounds its items; comments are whole and all unless bounded here.
     """
     live = sources.filter("enabled")
     mine = payloads.join(live.select("source_id"), "source_id", "left_semi")
@@ -52,17 +55,13 @@ def social_batches(sources: DataFrame, payloads: DataFrame, comments: DataFrame)
         .unionByName(hn_search_candidates(ok.filter("platform = 'hackernews' and form = 'search'")))
         .unionByName(hn_item_candidates(ok.filter("platform = 'hackernews' and form = 'item'")))
     )
-    capped = top_n_per(
-        found.join(live.select("source_id", "max_items", "trust_tier", "include_comments", "metadata_fallback", "priority"), "source_id"),
-        ["source_id"], ["item"], F.greatest(F.lit(1), F.least("max_items", F.when(F.col("platform") == "reddit", 100).otherwise(50))), most=100,
-    )
-    found = cut_lineage(capped)
+    known = found.join(live.select("source_id", "max_items", "trust_tier", "include_comments", "metadata_fallback", "priority"), "source_id")
+    capped = top_n_per(known.filter("max_items is not null"), ["source_id"], ["item"], F.greatest(F.lit(1), "max_items"))
+    found = cut_lineage(known.filter("max_items is null").unionByName(capped))
     failed = comments.filter("failed").select("external_id").distinct().withColumn("_failed", F.lit(True))
     marked = found.join(failed, "external_id", "left").withColumn("_failed", F.coalesce("_failed", F.lit(False)))
     good = comments.filter("not failed")
-    reddit = comment_lines(good.join(found.filter("platform = 'reddit'").select("external_id"), "external_id", "left_semi"), 12, 500)
-    hn = comment_lines(good.join(found.filter("platform = 'hackernews'").select("external_id"), "external_id", "left_semi"), 8, 400)
-    lines = reddit.unionByName(hn)
+    lines = comment_lines(good.join(found.select("external_id"), "external_id", "left_semi"), max_comments, comment_chars)
     asked = marked.filter("include_comments and not _failed")
     plain = marked.filter("not include_comments and not _failed").withColumn("comment_context", F.lit(""))
     enriched = with_comments(asked, lines).unionByName(plain)

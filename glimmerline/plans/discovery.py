@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.dedup import keep_first
 from ..operators.health import discovery_report
 from ..operators.ordering import top_n
-from ..sources.payloads import feed_candidates, rest_candidates, sitemap_candidates
+from ..sources.payloads import feed_candidates, last_landed, rest_candidates, sitemap_candidates
 from ..sources.registry import listing_seeds, resolve_transports, stamp_candidates, with_strategy
 from ..session import cut_lineage
 
@@ -18,7 +18,7 @@ def discover(
     sources: DataFrame, feeds: DataFrame, sitemaps: DataFrame, apis: DataFrame,
     max_candidates: int | None = None, mode: str = "balanced",
 ) -> tuple[DataFrame, DataFrame]:
-    """(candidates, report). Payload tables are keyed by `url`, with `body`."""
+    """(candidates, report). Payload tables are keyed by `url`, with `body`; the last landed body of a url counts."""
     turns = resolve_transports(sources, mode)
     most = 2**31 - 1 if max_candidates is None else max_candidates
     sized = turns.withColumn(
@@ -30,15 +30,15 @@ def discover(
     base = ["id", "company", "transport", "turn", "cap"]
 
     rss = feed_candidates(
-        of("rss").join(feeds.select(F.col("url").alias("transport_url"), "body"), "transport_url").select(*base, "body"), F.col("cap")
+        of("rss").join(last_landed(feeds, "url").select(F.col("url").alias("transport_url"), "body"), "transport_url").select(*base, "body"), F.col("cap")
     )
     rest = rest_candidates(
-        of("rest_api").join(apis.select(F.col("url").alias("transport_url"), "body"), "transport_url")
+        of("rest_api").join(last_landed(apis, "url").select(F.col("url").alias("transport_url"), "body"), "transport_url")
         .select(*base, F.col("transport_url").alias("list_url"), "items_path", "field_map", "body"), F.col("cap")
     ).withColumns({"date": null("string"), "published_at": null("timestamp")})
     maps = sitemap_candidates(
         of("sitemap").select(F.concat_ws("\u0001", "id", "turn").alias("source_id"), F.col("transport_url").alias("sitemap_url")),
-        sitemaps.select(F.col("url").alias("sitemap_url"), "body"), max_candidates,
+        sitemaps.withColumnRenamed("url", "sitemap_url"), max_candidates,
     )
     if max_candidates is None:
         ranked = maps.withColumn("item", F.element_at("trail", -1))  # no cap, so no rank is needed

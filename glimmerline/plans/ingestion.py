@@ -54,7 +54,7 @@ def extract(candidates: DataFrame, results: DataFrame) -> DataFrame:
 
 def ingest(
     candidates: DataFrame, landed: DataFrame, now: Column, health: DataFrame | None = None,
-    max_candidates: int | None = None, max_child_links: int = 15,
+    max_candidates: int | None = None, max_child_links: int | None = None,
 ) -> dict[str, DataFrame]:
     """Candidates (with `pos`) and landed responses to documents, attempts, health and counts."""
     first = cut_lineage(canonical_candidates(with_candidate_fields(candidates)))
@@ -75,9 +75,7 @@ def ingest(
             document_keys(F.col("canonical_url"), F.col("content_hash"), F.col("title"), F.col("published_at")),
         )
     )
-    timed = results.join(wanted.select("url", F.struct("pos", "child_at").alias("_at")), "url").withColumns(
-        {"ts": now, "pos": F.col("_at.pos") * 1000 + F.col("_at.child_at") + 1}
-    )
+    timed = results.join(wanted.select("url", F.struct("pos", "child_at").alias("pos")), "url").withColumn("ts", now)
     return {
         "candidates": wanted, "results": results, "documents": unique, "attempts": attempt_rows(results, now),
         "source_health": source_health(timed.select("source_id", "ts", "pos", "block_type", "success"), health),

@@ -26,6 +26,10 @@ LEADING_DATE = rf"(?iU)^({_DATE})\b"
 LIST_ITEM = r"(?is)<li[^>]*>(.*?)</li>"
 
 
+def _first(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
 def _first_of_each(items: Column, key: str) -> Column:
     """Keep the first struct per key field inside an array."""
     keys = F.transform(items, lambda x: x[key])
@@ -41,7 +45,7 @@ def _selectors(pages: DataFrame) -> DataFrame:
     return pages
 
 
-def with_listing_items(pages: DataFrame, max_items: int = 24, url: str = "url", html: str = "html", name: str = "items") -> DataFrame:
+def with_listing_items(pages: DataFrame, max_items: int | None = None, url: str = "url", html: str = "html", name: str = "items") -> DataFrame:
     """H6: adds an array of (url, title) for the item links of a listing page.
 
     The whole rule runs inside the row, so it needs no shuffle.
@@ -73,18 +77,18 @@ def with_listing_items(pages: DataFrame, max_items: int = 24, url: str = "url",
         "_named",
         F.transform(
             "_kept",
-            lambda x: F.struct(urls.canonical_url(x["abs"]).alias("url"), F.substring(drop_tags(x["inner"]), 1, 500).alias("t")),
+            lambda x: F.struct(urls.canonical_url(x["abs"]).alias("url"), drop_tags(x["inner"]).alias("t")),
         ),
     )
     items = F.transform(
-        F.slice(_first_of_each(F.col("_named"), "url"), 1, max_items),
+        _first(_first_of_each(F.col("_named"), "url"), max_items),
         lambda x: F.struct(x["url"].alias("url"), F.when(F.length(x["t"]) >= 2, x["t"]).alias("title")),
     )
     added = [c for c in ("path_contains_any", "exclude_path_substrings", "allow_aggregate_paths") if c not in pages.columns]
     return stage.withColumn(name, items).drop("_pairs", "_base", "_abs", "_kept", "_named", *added)
 
 
-def with_plain_links(pages: DataFrame, max_links: int = 20, url: str = "url", html: str = "html", name: str = "links") -> DataFrame:
+def with_plain_links(pages: DataFrame, max_links: int | None = None, url: str = "url", html: str = "html", name: str = "links") -> DataFrame:
     """H7: adds an array of item urls by the plainer rule."""
     h = F.coalesce(F.col(html), F.lit(""))
     hrefs = F.regexp_extract_all(h, F.lit(HREF_IN_ANCHOR), F.lit(2))
@@ -97,11 +101,11 @@ def with_plain_links(pages: DataFrame, max_links: int = 20, url: str = "url", ht
         (site != "") & (urls.netloc(a) == site) & urls.is_allowed(a)
         & urls.is_detail_from(F.col("_base"), a, F.lower(urls.raw_path(a)), plain=True)
     )
-    links = F.slice(F.array_distinct(F.transform(F.filter("_a", keep), lambda a: urls.canonical_url(a))), 1, max_links)
+    links = _first(F.array_distinct(F.transform(F.filter("_a", keep), lambda a: urls.canonical_url(a))), max_links)
     return stage.withColumn(name, links).drop("_h", "_a", "_base")
 
 
-def listing_items(pages: DataFrame, max_items: int = 24, url: str = "url", html: str = "html") -> DataFrame:
+def listing_items(pages: DataFrame, max_items: int | None = None, url: str = "url", html: str = "html") -> DataFrame:
     """H6 as rows: page url, position, item url and title."""
     rows = explode_computed(with_listing_items(pages.select(url, html), max_items, url, html), [url], "items", "item", "i")
     return rows.select(F.col(url).alias("page_url"), "item", "i.url", "i.title")
@@ -110,11 +114,11 @@ def listing_items(pages: DataFrame, max_items: int = 24, url: str = "url", html:
 # --- H8 -----------------------------------------------------------------------------------------
 def _entry(title: Column, detail: Column, hint: Column, key: Column) -> Column:
     return F.struct(
-        title.alias("title"), detail.alias("detail_url"), hint.alias("date_hint"), F.substring(title, 1, 400).alias("snippet"), key.alias("key")
+        title.alias("title"), detail.alias("detail_url"), hint.alias("date_hint"), title.alias("snippet"), key.alias("key")
     )
 
 
-def with_changelog_entries(pages: DataFrame, max_items: int = 40, url: str = "url", html: str = "html", name: str = "entries") -> DataFrame:
+def with_changelog_entries(pages: DataFrame, max_items: int | None = None, url: str = "url", html: str = "html", name: str = "entries") -> DataFrame:
     """H8: adds an array of dated lines, changelog links and, when few, list items."""
     h = F.coalesce(F.col(html), F.lit(""))
     base = urls.netloc(F.col(url))
@@ -126,7 +130,7 @@ def with_changelog_entries(pages: DataFrame, max_items: int = 40, url: str = "ur
     one = F.transform(
         dated,
         lambda x: _entry(F.trim(x["t"]), F.lit(""), F.trim(x["d"]),
-                         F.concat(F.trim(x["d"]), F.lit("|"), F.substring(F.trim(x["t"]), 1, 80))),
+                         F.concat(F.trim(x["d"]), F.lit("|"), F.trim(x["t"]))),
     )
     tails = F.filter(
         F.arrays_zip(
@@ -160,15 +164,14 @@ def with_changelog_entries(pages: DataFrame, max_items: int = 40, url: str = "ur
             ),
         ),
         lambda x: F.struct(
-            F.substring(x["c"], 1, 220).alias("title"), F.lit("").alias("detail_url"), x["d"].alias("date_hint"),
-            F.substring(x["c"], 1, 400).alias("snippet"), F.substring(x["c"], 1, 120).alias("key"),
+            x["c"].alias("title"), F.lit("").alias("detail_url"), x["d"].alias("date_hint"), x["c"].alias("snippet"), x["c"].alias("key"),
         ),
     )
     stage = stage.withColumns({"_one": one, "_two": two, "_three": three})
     stage = stage.withColumn("_first", _first_of_each(F.concat("_one", "_two"), "key"))
     every = F.when(F.size("_first") < 3, _first_of_each(F.concat("_first", "_three"), "key")).otherwise(F.col("_first"))
     return stage.withColumn(
-        name, F.transform(F.slice(every, 1, max_items), lambda e: e.dropFields("key"))
+        name, F.transform(_first(every, max_items), lambda e: e.dropFields("key"))
     ).drop("_plain", "_one", "_two", "_three", "_first")
 
 
@@ -216,7 +219,7 @@ def extract_fulltext(pages: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "_title_pub": parse_title_date(F.col("doc_title")),
-            "_text_pub": parse_changelog_date(F.substring("_clean", 1, 8000)),
+            "_text_pub": parse_changelog_date(F.col("_clean")),
         }
     )
     df = with_page_class(df, "raw_html", "url", F.col("doc_title"), F.col("block_type"), F.col("_sum"))
@@ -225,12 +228,12 @@ def extract_fulltext(pages: DataFrame) -> DataFrame:
         {
             "_agg": listing_reason(h, F.col("url"), F.length("_clean")),
             "_body0": F.when(F.col("body_handling") == "metadata_only", F.lit(""))
-            .when(F.col("body_handling") == "trimmed", F.substring(F.coalesce(pick, F.col("_clean")), 1, 3500))
+            .when(F.col("body_handling") == "trimmed", F.coalesce(pick, F.col("_clean")))
             .otherwise(F.col("_clean")),
         }
     )
     swap = (F.col("_agg") != "") & (F.col("page_type") == "article_page")
-    body = F.when(swap, F.substring(F.coalesce(pick, F.col("_body0")), 1, 3200)).otherwise(F.col("_body0"))
+    body = F.when(swap, F.coalesce(pick, F.col("_body0"))).otherwise(F.col("_body0"))
     full = F.col("body_handling") == "full"
     base = F.when(full & (F.length("_body0") > 120), 0.7).when(full & (F.col("_body0") != ""), 0.45).otherwise(0.2)
     score = F.least(base, F.col("quality_cap"), F.when(F.col("_agg") != "", 0.25).otherwise(1.0))
@@ -271,11 +274,11 @@ def extract_fulltext(pages: DataFrame) -> DataFrame:
 # --- X11 --------------------------------------------------------------------------------------------
 def extract_listing(pages: DataFrame) -> DataFrame:
     """X11: a listing page as one document of item lines."""
-    df = with_listing_items(with_candidate_fields(pages), 20, "url", "raw_html")
+    df = with_listing_items(with_candidate_fields(pages), None, "url", "raw_html")
     h = F.coalesce("raw_html", F.lit(""))
     df = with_html_dates(df.withColumn("_clean", clean_text(h)), "raw_html")
     lines = F.transform(
-        F.slice("items", 1, 18), lambda i: F.concat(F.lit("- "), F.coalesce(i["title"], i["url"]), F.lit(" :: "), i["url"])
+        "items", lambda i: F.concat(F.lit("- "), F.coalesce(i["title"], i["url"]), F.lit(" :: "), i["url"])
     )
     df = df.withColumn("_lines", lines)
     any_line = F.size("_lines") > 0
@@ -284,7 +287,7 @@ def extract_listing(pages: DataFrame) -> DataFrame:
             {
                 "canonical_url": F.col("url"), "doc_title": first_nonempty(F.col("title"), found(h, TITLE), F.col("url")),
                 "doc_published": F.col("html_published"), "doc_updated": F.col("html_updated"),
-                "body_text": F.when(any_line, F.array_join("_lines", "\n")).otherwise(F.substring("_clean", 1, 4000)),
+                "body_text": F.when(any_line, F.array_join("_lines", "\n")).otherwise(F.col("_clean")),
                 "doc_summary": F.when(any_line, F.substring(F.get("_lines", F.lit(0)), 1, 400)).otherwise(F.substring("_clean", 1, 280)),
                 "language": F.lit(None).cast("string"), "quality_score": F.when(any_line, 0.35).otherwise(0.22),
                 "page_type": F.lit("listing_page"), "notes": F.concat("date_notes", F.array(F.lit("listing_index_fallback"))),
@@ -366,7 +369,7 @@ def doc_subtype(source_type: Column) -> Column:
 
 def extract_index(pages: DataFrame) -> DataFrame:
     """A changelog or release page as one document of entry lines."""
-    df = with_changelog_entries(with_candidate_fields(pages), 36, "url", "raw_html")
+    df = with_changelog_entries(with_candidate_fields(pages), None, "url", "raw_html")
     h = F.coalesce("raw_html", F.lit(""))
     df = with_html_dates(df.withColumn("_clean", clean_text(h)), "raw_html")
     lines = F.transform(
@@ -378,7 +381,7 @@ def extract_index(pages: DataFrame) -> DataFrame:
     )
     df = df.withColumn("_lines", lines)
     any_line = F.size("_lines") > 0
-    df = df.withColumn("body_text", F.when(any_line, F.array_join("_lines", "\n")).otherwise(F.substring("_clean", 1, 6000)))
+    df = df.withColumn("body_text", F.when(any_line, F.array_join("_lines", "\n")).otherwise(F.col("_clean")))
     df = df.withColumns(
         {
             "_text_pub": parse_changelog_date(F.col("body_text")), "_meta_pub": parse_feed_date(F.col("published_hint")),
@@ -421,7 +424,7 @@ def normalize_documents(extracted: DataFrame) -> DataFrame:
 
 
 # --- X14 -------------------------------------------------------------------------------------------------
-def expand_listings(seeds: DataFrame, landed: DataFrame, max_child_links: int = 15) -> DataFrame:
+def expand_listings(seeds: DataFrame, landed: DataFrame, max_child_links: int | None = None) -> DataFrame:
     """Item candidates of the seed pages that were landed. The last landed page of a url counts, and only if its fetch succeeded."""
     cand = with_candidate_fields(seeds)
     if "ts" in landed.columns:

@@ -11,6 +11,7 @@ from ..functions.arrays import first_nonempty
 from ..functions.dates import from_epoch, parse_feed_date, parse_iso
 from ..functions.text import strip_ends
 from ..functions.vocab import HN_ITEM_PAGE, REDDIT_ROOT
+from ..operators.dedup import keep_first
 from ..session import cut_lineage
 
 _GUID = "struct<_VALUE:string,_isPermaLink:string>"
@@ -87,26 +88,36 @@ def feed_records(payloads: DataFrame, max_items: int | None = None) -> DataFrame
     )
 
 
+def last_landed(payloads: DataFrame, key: str) -> DataFrame:
+    """The last landed row per key, by `ts` where the table has it; of rows landed together the one with the greater body hash."""
+    order = [F.col("ts").desc()] if "ts" in payloads.columns else []
+    return keep_first(payloads, [key], [*order, F.xxhash64("body").desc()])
+
+
 def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int | None = None) -> DataFrame:
-    """Pages of the requested sitemaps; index files are followed to the last level, each once per source.
+    """Pages of the requested sitemaps; index files are followed to the last level.
 
     `requests(source_id, sitemap_url)` start the walk, `sitemaps(sitemap_url,
-    body)` holds what was landed. Each round joins the open references to the
-    landed bodies; `trail` keeps the position inside every level for the order.
+    body)` holds what was landed; of a sitemap landed twice the last counts
+    (`last_landed`). Each round joins the open references to the landed bodies;
+    `trail` keeps the position inside every level for the order. A sitemap is
+    read once per source, however often and on whatever levels it is named: at
+    its first mention by level, then trail. That also ends cycles.
     """
-    landed = sitemaps.select("sitemap_url", "body")
+    landed = last_landed(sitemaps, "sitemap_url").select("sitemap_url", "body")
     is_index = F.col("body").rlike(r"<(?:\w+:)?sitemapindex[\s>]")
     frontier = requests.select("source_id", "sitemap_url", F.array().cast("array<int>").alias("trail"))
     parts: list[DataFrame] = []
     seen: DataFrame | None = None
     while True:
+        frontier = keep_first(frontier, ["source_id", "sitemap_url"], ["trail"])
         if seen is not None:
             frontier = frontier.join(seen, ["source_id", "sitemap_url"], "left_anti")
         hit = cut_lineage(frontier.join(landed, "sitemap_url"))
         if hit.isEmpty():
             break
-        now = hit.select("source_id", "sitemap_url").distinct()
-        seen = now if seen is None else seen.unionByName(now)
+        now = hit.select("source_id", "sitemap_url")
+        seen = now if seen is None else cut_lineage(seen.unionByName(now))
         pages = hit.filter(~is_index).select(
             "source_id", "sitemap_url", "trail", F.posexplode(_xml(F.col("body"), SITEMAP)["url"]).alias("item", "u")
         )
@@ -131,7 +142,7 @@ def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int
     return every if max_items is None else top_n_per(every, ["source_id"], ["trail"], max_items)
 
 
-def rest_candidates(payloads: DataFrame, max_items: int | Column = 50) -> DataFrame:
+def rest_candidates(payloads: DataFrame, max_items: int | Column | None = None) -> DataFrame:
     """List payloads; needs items_path, field_map (map) and list_url columns."""
     body = F.try_parse_json("body")
     stage = payloads.withColumn("_v", body).filter(F.col("_v").isNotNull())
@@ -149,7 +160,7 @@ def rest_candidates(payloads: DataFrame, max_items: int | Column = 50) -> DataFr
     )
     rows = stage.withColumn("_rows", F.from_json(items, "array<string>")).select(
         *[c for c in payloads.columns if c != "body"], F.posexplode("_rows").alias("item", "row")
-    ).filter((F.col("item") < max_items) & F.ltrim("row").startswith("{"))
+    ).filter((F.lit(True) if max_items is None else F.col("item") < max_items) & F.ltrim("row").startswith("{"))
 
     def field(name: str) -> Column:
         key = F.coalesce(F.col("field_map")[name], F.lit(name))

@@ -68,7 +68,7 @@ SOCIAL_FIELDS = {
     "include_comments": "boolean", "max_items": "int", "metadata_fallback": "boolean", "trust_tier": "int",
 }
 SOCIAL_DEFAULTS = {
-    "enabled": True, "priority": 50, "strategy": "fulltext_preferred", "include_comments": False, "max_items": 20,
+    "enabled": True, "priority": 50, "strategy": "fulltext_preferred", "include_comments": False,
     "metadata_fallback": True, "trust_tier": 2,
 }
 
@@ -83,19 +83,22 @@ def enabled_social(sources: DataFrame) -> DataFrame:
     return sources.filter("enabled").orderBy(F.desc("priority"), "source_id")
 
 
-def monitor_providers(monitors: DataFrame, providers: DataFrame) -> DataFrame:
+def monitor_providers(monitors: DataFrame, providers: DataFrame, most: int = 10_000) -> DataFrame:
     """Enabled monitors with each enabled known provider.
 
-    A monitor that names no provider gets all enabled ones.
+    A monitor that names no provider gets all enabled ones. These are few, as
+    each one is a search service: more than `most` are refused, and the list of
+    them is one value that the monitors explode in place.
     """
     live = providers.filter("enabled").select("provider_id", "provider")
     mons = monitors.filter("enabled")
     named = mons.filter(F.size(F.coalesce("providers", F.array())) > 0).withColumn(
         "provider_id", F.explode("providers")
     ).join(live, "provider_id")
-    rest = mons.filter(F.size(F.coalesce("providers", F.array())) == 0).withColumn("_all", F.lit(1)).join(
-        live.withColumn("_all", F.lit(1)), "_all"
-    ).drop("_all")
+    if live.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} enabled providers")
+    every = live.agg(F.sort_array(F.collect_list(F.struct(*live.columns)))).scalar()
+    rest = mons.filter(F.size(F.coalesce("providers", F.array())) == 0).withColumn("_each", F.explode(every)).select(*mons.columns, "_each.*")
     return named.unionByName(rest.select(*named.columns))
 
 

@@ -61,15 +61,15 @@ def quality_score(engagement: Column, trust: Column, comments: Column, text: Col
     )
 
 
-def comment_lines(comments: DataFrame, limit: int, chars: int) -> DataFrame:
+def comment_lines(comments: DataFrame, limit: int | None = None, chars: int | None = None) -> DataFrame:
     """(external_id, comment_context) from rows (external_id, at, author, body).
 
     Deleted bodies are skipped after the cut, as they take a place in it.
     """
-    first = top_n_per(comments, ["external_id"], ["at"], limit)
+    first = comments if limit is None else top_n_per(comments, ["external_id"], ["at"], limit)
     body = strip_ends(F.replace(F.coalesce("body", F.lit("")), F.lit("<p>"), F.lit("\n")))
     kept = first.withColumn("_b", body).filter(~F.col("_b").isin("", "[deleted]", "[removed]"))
-    line = F.concat(F.lit("- @"), F.coalesce("author", F.lit("")), F.lit(": "), F.substring("_b", 1, chars))
+    line = F.concat(F.lit("- @"), F.coalesce("author", F.lit("")), F.lit(": "), F.col("_b") if chars is None else F.substring("_b", 1, chars))
     return kept.groupBy("external_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "\n")
         .alias("comment_context")

@@ -83,27 +83,27 @@ def upsert_table(spark: SparkSession, path: str, incoming: DataFrame, key: str,
     replaces it, so a repeated micro-batch does no harm.
     """
     if number is None:
-        number = max([*_numbers(spark, path, "change"), *_numbers(spark, path, "base"), 0]) + 1
+        number = max([*numbers(spark, path, "change"), *numbers(spark, path, "base"), 0]) + 1
     keep_last(incoming, [key], [version]).write.mode("overwrite").parquet(os.path.join(path, f"change-{number:08d}"))
 
 
 def read_table(spark: SparkSession, path: str, key: str, version: str) -> DataFrame:
     """The current rows: newest base and the changes after it."""
-    bases = _numbers(spark, path, "base")
+    bases = numbers(spark, path, "base")
     base = max(bases, default=0)
     folders = [f"base-{base:08d}"] if bases else []
-    folders += [f"change-{n:08d}" for n in _numbers(spark, path, "change") if n > base]
+    folders += [f"change-{n:08d}" for n in numbers(spark, path, "change") if n > base]
     rows = spark.read.option("mergeSchema", "true").parquet(*[os.path.join(path, f) for f in folders])
     return keep_last(rows, [key], [version])
 
 
 def compact_table(spark: SparkSession, path: str, key: str, version: str) -> None:
     """Writes base n, which holds all changes up to n."""
-    number = max(_numbers(spark, path, "change"), default=0)
+    number = max(numbers(spark, path, "change"), default=0)
     read_table(spark, path, key, version).write.mode("overwrite").parquet(os.path.join(path, f"base-{number:08d}"))
 
 
-def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+def numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
     """Numbers of the complete folders of one kind; reads folder names only."""
     paths = spark._jvm.org.apache.hadoop.fs
     fs = paths.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
