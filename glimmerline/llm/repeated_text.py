@@ -5,9 +5,9 @@ strings of `length` bytes, are therefore dealt by content: a window belongs to
 its least-hashed gram of k bytes (winnowing, Schleimer et al., 2003), so that
 equal windows belong to equal grams. Windows of a text that share one gram make
 a segment. Segments of a gram that occurs once hold nothing repeated; the
-others are reduced to distinct texts with a count. The unlike texts of a gram
-form one string, in whose suffix array (`suffix_groups`) equal windows are
-neighbours; a gram with one text has nothing to compare, its count says all.
+others are reduced to distinct texts with a count, and a text that occurs
+again is repeated whole. The unlike texts of a gram form one string, in whose
+suffix array (`suffix_groups`) equal windows are neighbours.
 
 A gram may stand in any number of different texts, as the heart of a common
 passage does. Texts of such a gram are dealt again by longer grams, of which
@@ -172,7 +172,7 @@ def repeated_windows(texts: list[bytes], groups: np.ndarray, length: int) -> np.
 
 
 def _finder(length: int, batch_bytes: int = 1 << 19):
-    """Rows (key, f1, f2, n, bytes), sorted by key, to rows (f1, f2, lo, hi): repeated windows of each text."""
+    """Rows (key, f1, f2, n, bytes), sorted by key, to rows (f1, f2, lo, hi): windows of each text with n = 1 that others of its key hold."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -184,8 +184,8 @@ def _finder(length: int, batch_bytes: int = 1 << 19):
             flag = np.zeros(int(sizes.sum()) + 1, bool)
             flag[spots] = True
             f1, f2, n = (np.asarray(x, np.int64) for x in zip(*rows, strict=True))
-            for t in np.flatnonzero(n > 1).tolist():  # the text itself occurs again
-                flag[starts[t] : starts[t] + sizes[t] - length + 1] = True
+            for t in np.flatnonzero(n > 1).tolist():
+                flag[starts[t] : starts[t] + sizes[t]] = False
             steps = np.diff(np.concatenate([[0], flag.view(np.int8)]))
             lo, hi = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
             row = np.searchsorted(starts, lo, "right") - 1
@@ -218,16 +218,17 @@ def _repeats(texts: DataFrame, length: int, grams: tuple[int, ...], most: int) -
     counts = unlike.groupBy("key").agg(F.count("*").alias("texts"))
     part = F.struct("key", "f1", "f2", "n", "texts", "at.lo", "at.hi")
     placed = stored(unlike.join(counts, "key").select("key", "f1", "f2", "n", "texts", "at"), "unlike")
-    alone = placed.filter("texts = 1").select("f1", "f2", F.lit(0).cast("long").alias("lo"), (F.col("at.hi") - F.col("at.lo")).alias("hi"))
+    copied = placed.filter("n > 1").select("f1", "f2", F.lit(0).cast("long").alias("lo"), (F.col("at.hi") - F.col("at.lo")).alias("hi"))
     wanted = placed.filter("texts > 1").groupBy("at.a", "at.b").agg(F.collect_list(part).alias("parts"))  # at most a document's segments
     pieces = stored(
         texts.join(wanted, ["a", "b"]).select("bytes", "parts").mapInArrow(_slicer(length), "key long, f1 long, f2 long, n long, texts long, bytes binary"), "pieces"
     )
     small = spread_out(pieces.filter(F.col("texts") <= most).select("key", "f1", "f2", "n", "bytes"), "key").sortWithinPartitions("key", "f1", "f2")
-    found = alone.unionByName(small.mapInArrow(_finder(length), "f1 long, f2 long, lo long, hi long"))
+    found = copied.unionByName(small.mapInArrow(_finder(length), "f1 long, f2 long, lo long, hi long"))
     hot = pieces.filter(F.col("texts") > most).select(F.col("f1").alias("a"), F.col("f2").alias("b"), "n", "bytes")
     if len(grams) > 1 and not hot.isEmpty():
         finer = _repeats(stored(hot.dropDuplicates(["a", "b"]), "hot"), length, grams[1:], most)
+        finer = finer.join(hot.filter("n = 1").select("a", "b"), ["a", "b"], "left_semi")  # copied texts are found whole, in one stretch
         found = found.unionByName(finer.select(F.col("a").alias("f1"), F.col("b").alias("f2"), "lo", "hi"))
     found = stored(found, "found").withColumnsRenamed({"lo": "from", "hi": "to"})
     return shared.join(found, ["f1", "f2"]).select("a", "b", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
