@@ -118,31 +118,6 @@ def _segmenter(length: int, k: int):
     return run
 
 
-def _slicer(length: int):
-    """Rows (bytes, parts) to a row per part with its text."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            held = batch.column(1).flatten()
-            counts = np.diff(batch.column(1).offsets.to_numpy())
-            at = np.repeat(np.arange(batch.num_rows), counts)
-            texts = batch.column(0)
-            out, done, row, text = [], 0, -1, b""
-            lo, hi = (held.field(f).to_numpy() for f in ("lo", "hi"))
-            for k, (r, s, e) in enumerate(zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)):
-                if r != row:
-                    row, text = r, texts[r].as_py()
-                out.append(text[s : e + length - 1])
-                if len(out) == 8192 or k == len(at) - 1:
-                    some = held.slice(done, len(out))
-                    yield pa.RecordBatch.from_arrays([some.field(f) for f in ("key", "f1", "f2", "n", "texts")] + [pa.array(out, pa.binary())], ["key", "f1", "f2", "n", "texts", "bytes"])
-                    out, done = [], k + 1
-
-    return run
-
-
 def repeated_windows(texts: list[bytes], groups: np.ndarray, length: int) -> np.ndarray:
     """Places, in the joined texts, of the windows that start more than once among the texts of their group.
 
@@ -220,9 +195,9 @@ def _repeats(texts: DataFrame, length: int, grams: tuple[int, ...], most: int) -
     placed = stored(unlike.join(counts, "key").select("key", "f1", "f2", "n", "texts", "at"), "unlike")
     copied = placed.filter("n > 1").select("f1", "f2", F.lit(0).cast("long").alias("lo"), (F.col("at.hi") - F.col("at.lo")).alias("hi"))
     wanted = placed.filter("texts > 1").groupBy("at.a", "at.b").agg(F.collect_list(part).alias("parts"))  # at most a document's segments
-    pieces = stored(
-        texts.join(wanted, ["a", "b"]).select("bytes", "parts").mapInArrow(_slicer(length), "key long, f1 long, f2 long, n long, texts long, bytes binary"), "pieces"
-    )
+    cut = F.expr(f"substring(bytes, cast(part.lo + 1 as int), cast(part.hi - part.lo + {length - 1} as int))")
+    each = texts.join(wanted, ["a", "b"]).select("bytes", F.explode("parts").alias("part"))
+    pieces = stored(each.select("part.key", "part.f1", "part.f2", "part.n", "part.texts", cut.alias("bytes")), "pieces")
     small = spread_out(pieces.filter(F.col("texts") <= most).select("key", "f1", "f2", "n", "bytes"), "key").sortWithinPartitions("key", "f1", "f2")
     found = copied.unionByName(small.mapInArrow(_finder(length), "f1 long, f2 long, lo long, hi long"))
     hot = pieces.filter(F.col("texts") > most).select(F.col("f1").alias("a"), F.col("f2").alias("b"), "n", "bytes")
