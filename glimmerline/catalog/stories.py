@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import urls
 from ..functions.arrays import short_hash
+from ..functions.vocab import FINDING_ACTIONS, FINDING_LABELS, TREND_LABELS
 from ..operators.components import connected_components
 from ..operators.dedup import document_keys, drop_seen, greedy_dedup, idempotency_key, keep_first, keep_last
 from ..plans.decisions import (
@@ -196,6 +197,111 @@ def copy_components(spark, folder):
     return connected_components(edges)
 
 
+# --- a whole run over texts that are equal or share no letter ------------------------------------
+_PLACES = ("north", "south", "west", "hill", "lake", "moor", "dune", "reef")
+
+
+def alike_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as raw records. Thirty in a row share a text of one letter, of a large alphabet; families and days take turns."""
+    k = F.col("c_custkey")
+    text = F.repeat(F.decode(F.unhex(_utf8_hex(19968 + F.floor(k / 30) % 20000)), "UTF-8"), 12)
+    path = F.when(k % 3 == 0, "outage-").when(k % 3 == 1, "launch-").otherwise("k")
+    source = F.get(F.array(*[F.lit(x) for x in _PLACES]), (k % 8).cast("int"))
+    return table(spark, folder, "customer").select(
+        k.alias("pos"), source.alias("provider_id"), k.cast("string").alias("external_id"), text.alias("text"), text.alias("title"),
+        F.concat(F.lit("https://"), source, F.lit(".example.com/"), path, k.cast("string")).alias("url"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 4).cast("int")), "yyyy-MM-dd").alias("published_at"),
+    )
+
+
+def _utf8_hex(code):
+    """Hex digits of the three UTF-8 bytes of a code point from 0x800 to 0xFFFF."""
+    return F.hex(
+        (F.lit(0xE08080) + F.floor(code / 4096) * 65536 + F.floor(code / 64) % 64 * 256 + code % 64).cast("long")
+    )
+
+
+def alike_layers(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    key = (spark.sparkContext.applicationId, folder, "alike")
+    if key not in _LAYERS:
+        _LAYERS[key] = run_layers(alike_records(spark, folder))
+    return _LAYERS[key]
+
+
+def _cases(of: str, texts: dict[str, str]) -> str:
+    return f"CASE {of} " + " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in texts.items()) + " END"
+
+
+_ALIKE_SQL = f"""
+c AS (SELECT c_custkey AS k, 'evt_' || row_number() OVER (ORDER BY c_custkey) AS id, repeat(chr((19968 + c_custkey // 30 % 20000)::INT), 12) AS w,
+  {list(_PLACES)}[(c_custkey % 8 + 1)::INT] AS src, c_custkey % 3 AS f, c_custkey % 4 AS d FROM customer),
+same AS (SELECT w, f, d, min([x.id, y.id]) AS two FROM c x JOIN c y USING (w, f, d, src) WHERE x.id < y.id GROUP BY ALL),
+subj AS (SELECT w, f, d, src FROM (SELECT w, f, d, src, count(*) AS n, min(id) AS a FROM c GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY w, f, d ORDER BY n DESC, a) = 1),
+g AS (SELECT w, f, d, count(*) AS n, count(DISTINCT src) AS s, list(id ORDER BY id) AS ids FROM c GROUP BY ALL),
+x AS (SELECT g.*, upper(src[1]) || src[2:] AS subject, ['risk', 'adoption', 'story'][f + 1] AS fam,
+  CASE WHEN n = 1 THEN [] WHEN two IS NULL THEN ['title/summary similarity'] WHEN two = ids[1:2] THEN ['same subject + same time window', 'title/summary similarity']
+    ELSE ['title/summary similarity', 'same subject + same time window'] END AS reasons,
+  (0.3 + 0.1 * least(s, 3) + 0.05 * (n - 1))::DOUBLE AS strength, (0.4 + 0.05 * least(s, 3) + 0.14 * (n - 1))::DOUBLE AS corr,
+  (0.445 + 0.16 * (f = 1)::INT + 0.08 * (n = 1)::INT)::DOUBLE AS nov, (0.45 + 0.1 * least(n - 1, 2))::DOUBLE AS cf
+  FROM g JOIN subj USING (w, f, d) LEFT JOIN same USING (w, f, d)),
+t AS (SELECT *, CASE f WHEN 0 THEN 'risk_cluster' WHEN 1 THEN 'adoption_cluster' ELSE CASE WHEN n > 1 AND corr >= 0.52 THEN 'momentum_cluster' ELSE 'narrative_cluster' END END AS trend_type,
+  CASE WHEN n >= 3 OR (n >= 2 AND nov >= 0.58 AND corr >= 0.5) THEN 'accelerating' WHEN nov >= 0.55 THEN 'emerging' ELSE 'stable' END AS direction,
+  'tr_' || substring(sha256(array_to_string(list_sort(ids), '|')), 1, 10) AS trend_id FROM x)
+"""
+
+
+@query(
+    "alike_stories",
+    f"""
+    WITH {_ALIKE_SQL} SELECT trend_id, w AS title, w || ' (' || n || ' event(s), ' || n || ' evidence item(s)).' AS summary, subject,
+      subject || ' ' || {_cases("trend_type", TREND_LABELS)} AS theme, trend_type, direction, round(strength, 3) AS strength_score,
+      round(corr, 3) AS corroboration_score, round(nov, 3) AS novelty_score, round(cf, 3) AS confidence, array_to_string(ids, '|') AS event_ids,
+      array_to_string(reasons, '|') AS merge_reasons, '2024-01-0' || (d + 1) || ' 00:00:00' AS window_start,
+      subject || ' has ' || n || ' related event(s) grouped into a single story. Corroboration is ' || round(corr::DECIMAL(10,6), 2)::DECIMAL(10,2) || ' across ' || n || ' document(s) and '
+        || n || ' evidence item(s); novelty is ' || round(nov::DECIMAL(10,6), 2)::DECIMAL(10,2) || ' and the story direction is ' || direction || '.' AS why_it_matters,
+      CASE WHEN n = 1 THEN 'Single event retained as its own trend because no strong merge signals were present.' ELSE
+        'Merged ' || n || ' related events into one trend.|Grouping signals: ' || array_to_string(reasons, ', ') || '.|Story is supported by ' || n || ' canonical document(s).'
+        || CASE WHEN s > 1 THEN '|Coverage spans ' || s || ' distinct source(s).' ELSE '' END END AS explain FROM t
+    """,
+)
+def alike_stories(spark, folder):
+    """A run from raw records to trends, with members in order and all texts."""
+    t = alike_layers(spark, folder)["trend_signals"]
+    return t.select(
+        "trend_id", "title", "summary", "subject", "theme", "trend_type", "direction", "strength_score", "corroboration_score", "novelty_score", "confidence",
+        joined(F.col("event_ids")).alias("event_ids"), joined(F.col("merge_reasons")).alias("merge_reasons"), text_of(F.col("window_start")).alias("window_start"),
+        "why_it_matters", joined(F.col("explain")).alias("explain"),
+    )
+
+
+@query(
+    "alike_findings",
+    f"""
+    WITH {_ALIKE_SQL}, sc AS (SELECT *, f = 1 AS ad, round(corr, 3) >= 0.5 AS firm, round(nov, 3) >= 0.58 AS fresh FROM t),
+    r AS (SELECT *, [{{'s': 0.08 + 0.18 * (f = 0)::INT, 'k': 'risk_signal'}}, {{'s': 0.08 + 0.08 * (fresh AND NOT ad)::INT - 0.04 * ad::INT, 'k': 'opportunity_signal'}},
+      {{'s': -0.05, 'k': 'competition_signal'}}, {{'s': 0.08 + 0.76 * ad::INT, 'k': 'adoption_signal'}},
+      {{'s': 0.18 + 0.44 * (trend_type = 'narrative_cluster')::INT + 0.06 * firm::INT + 0.05 * fresh::INT, 'k': 'narrative_shift'}},
+      {{'s': 0.15 + 0.18 * (n > 1)::INT + 0.18 * firm::INT + 0.12 * fresh::INT + 0.16 * (trend_type = 'momentum_cluster')::INT, 'k': 'momentum_signal'}}] AS l FROM sc),
+    b AS (SELECT *, list_max(l) AS best, greatest(l[1].s, l[2].s, l[4].s) AS cue FROM r),
+    i AS (SELECT *, CASE WHEN best.s < 0.4 THEN (CASE WHEN n > 1 THEN 'momentum_signal' ELSE 'narrative_shift' END) ELSE best.k END AS kind,
+      least(1, 0.43 + 0.18 * round(corr, 3) + 0.12 * best.s + 0.06 * least(n - 1, 2))::DOUBLE AS imp FROM b)
+    SELECT 'fd_' || substring(sha256(array_to_string(list_sort([trend_id, kind]), '|')), 1, 10) AS finding_id, kind AS finding_type,
+      {_cases("kind", FINDING_LABELS)} || ' — ' || w AS title, subject, round(imp, 3) AS importance_score, round(least(1, 0.4 * imp + 0.22 * cue + 0.06)::DOUBLE, 3) AS decision_relevance_score,
+      {_cases("kind", {k: "|".join(v) for k, v in FINDING_ACTIONS.items()})} AS actions,
+      {_cases("kind", FINDING_LABELS)} || CASE kind WHEN 'risk_signal' THEN ' for ' || subject || ': ' || w || ' (' || n || ' related event(s)).'
+        WHEN 'adoption_signal' THEN ' for ' || subject || ': rollout or customer uptake is becoming visible.' WHEN 'momentum_signal' THEN ': repeated related events suggest this story is gaining traction.'
+        ELSE ': this story is shaping the surrounding narrative for ' || subject || '.' END AS summary FROM i
+    """,
+)
+def alike_findings(spark, folder):
+    """The findings of the same run, with their texts and actions."""
+    f = alike_layers(spark, folder)["intelligence_findings"]
+    return f.select(
+        "finding_id", "finding_type", "title", "subject", "importance_score", "decision_relevance_score",
+        joined(F.col("recommended_actions")).alias("actions"), "summary",
+    )
+
+
 # --- scored stories over the star tables ----------------------------------------------------
 _PROFILE_SQL = """
 o AS (SELECT *, round(0.40123 + ((o_custkey * 7 + o_orderkey) % 60) / 103.0::DOUBLE, 6) AS sig, 0.45 AS conf,
