@@ -328,7 +328,18 @@ def social_health_query(spark, folder):
     return social_health(e).select("source_id", "total_attempts", "total_successes", "last_error", "metadata_fallback_used", F.round("success_rate", 6).alias("success_rate"))
 
 
-@query("social_run")
+@query(
+    "social_run",
+    f"""
+    WITH {_P}, c AS (SELECT conv_id, string_agg('- @' || role || ': ' || trim(text, ' ' || chr(10)), chr(10) ORDER BY turn) FILTER (trim(text, ' ' || chr(10)) <> '') AS lines FROM conversations GROUP BY 1),
+    x AS (SELECT p.*, 'See https://x.example/' || o_orderkey AS body, coalesce(conv_id % 7 = 0, false) AS failed, CASE WHEN conv_id % 7 <> 0 THEN lines END AS lines,
+      least(1.0::DOUBLE, sqrt(o_orderkey % 900) / 200.0::DOUBLE + sqrt(o_orderkey % 50) / 150.0::DOUBLE) AS eng FROM p LEFT JOIN c ON conv_id = o_orderkey WHERE o_orderkey % 6 <> 0)
+    SELECT CASE WHEN failed THEN 'fallback' ELSE 'enriched' END AS channel, 'social:sub' || page AS provider_id, 't3_' || o_orderkey AS external_id,
+      length(body || coalesce(chr(10) || chr(10) || '--- comments ---' || chr(10) || lines, '')) AS n_chars,
+      round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, eng * 0.6::DOUBLE + (CASE WHEN lines IS NOT NULL THEN 0.15 ELSE 0 END)::DOUBLE + 0.05::DOUBLE - (CASE WHEN failed THEN 0.2 ELSE 0 END)::DOUBLE)), 6) AS quality_score,
+      failed AS metadata_fallback FROM x
+    """,
+)
 def social_run(spark, folder):
     """X17 over order pages as subreddits and conversations as comments."""
     pay = _reddit_payloads(spark, folder)
@@ -338,7 +349,7 @@ def social_run(spark, folder):
     )
     out = social_batches(src, pay, com)
     return union_batches(enriched=out["records"], fallback=out["fallback"]).select(
-        "channel", "provider_id", "external_id", F.length("text").alias("n_chars"), F.round("quality_score", 6).alias("quality_score"), "metadata_fallback"
+        "channel", "provider_id", "external_id", big(F.length("text")).alias("n_chars"), F.round("quality_score", 6).alias("quality_score"), "metadata_fallback"
     )
 
 
@@ -554,7 +565,7 @@ def discovery_run(spark, folder) -> tuple[DataFrame, DataFrame]:
         sup.groupBy(F.lit("acme").alias("company"), F.col("s_suppkey").alias("g")).agg(
             F.collect_list(F.struct(
                 s("s", k).alias("id"), F.lit("newsroom").alias("type"), s("https://s", k, ".example/news").alias("url"), F.lit("high").alias("priority"),
-                s("https://s", k, ".example/rss").alias("rss_url"), s("https://s", k, ".example/api").alias("api_list_url"),
+                s("https://s", k, ".example/rss").alias("rss_url"), F.array(s("/n/", k)).alias("path_contains_any"), s("https://s", k, ".example/api").alias("api_list_url"),
                 F.when(F.col("s_suppkey") % 2 == 0, "prefer_fallback").otherwise("combine").alias("transport_collection_mode"),
             )).alias("sources")
         )
@@ -586,12 +597,12 @@ l AS (SELECT DISTINCT l_suppkey AS k, l_orderkey AS n FROM lineitem), f AS (SELE
 @query(
     "official_discovery",
     f"""
-    WITH {_DISC_SQL} SELECT 's' || k AS source_id, 'https://s' || k || '.example/n/' || n AS url, CASE WHEN place = 1 AND k % 3 = 0 THEN 'rest_api' ELSE 'rss' END AS transport FROM f WHERE k % 2 = 1 OR k % 3 <> 0 OR place = 1
-    UNION ALL SELECT 's' || s_suppkey, 'https://s' || s_suppkey || '.example/news', 'html_listing' FROM supplier WHERE s_suppkey % 2 = 1
+    WITH {_DISC_SQL} SELECT 's' || k AS source_id, 'https://s' || k || '.example/n/' || n AS url, CASE WHEN place = 1 AND k % 3 = 0 THEN 'rest_api' ELSE 'rss' END AS transport, 'newsroom' AS source_type, '/n/' || k AS selectors FROM f WHERE k % 2 = 1 OR k % 3 <> 0 OR place = 1
+    UNION ALL SELECT 's' || s_suppkey, 'https://s' || s_suppkey || '.example/news', 'html_listing', 'newsroom', '/n/' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 1
     """,
 )
 def official_discovery(spark, folder):
-    return discovery_run(spark, folder)[0].select("source_id", "url", "transport")
+    return discovery_run(spark, folder)[0].select("source_id", "url", "transport", "source_type", joined(F.col("path_contains_any")).alias("selectors"))
 
 
 @query(

@@ -36,10 +36,10 @@ def replace_seeds(candidates: DataFrame, children: DataFrame, max_candidates: in
     return top_n(first, [F.desc("priority"), F.col("pos"), F.col("child_at")], max_candidates)
 
 
-def with_children(candidates: DataFrame, children: DataFrame) -> DataFrame:
+def with_children(candidates: DataFrame, children: DataFrame, max_candidates: int | None = None) -> DataFrame:
     """Seeds followed by their children, first per url."""
     both = candidates.withColumn("child_at", F.lit(-1)).unionByName(children, allowMissingColumns=True)
-    return keep_first(both, ["url"], ["pos", "child_at"])
+    return top_n(keep_first(both, ["url"], ["pos", "child_at"]), [F.col("pos"), F.col("child_at")], max_candidates)
 
 
 def extract(candidates: DataFrame, results: DataFrame) -> DataFrame:
@@ -54,13 +54,18 @@ def extract(candidates: DataFrame, results: DataFrame) -> DataFrame:
 
 def ingest(
     candidates: DataFrame, landed: DataFrame, now: Column, health: DataFrame | None = None,
-    max_candidates: int | None = None, max_child_links: int | None = None,
+    max_candidates: int | None = None, max_child_links: int | None = None, keep_seeds: bool = False,
 ) -> dict[str, DataFrame]:
-    """Candidates (with `pos`) and landed responses to documents, attempts, health and counts."""
+    """Candidates (with `pos`) and landed responses to documents, attempts, health and counts.
+
+    `health` is the source health that an earlier run returned; it steers the
+    access plans and is carried on. Seeds give way to their children (D3), or
+    stay before them if `keep_seeds` (D5).
+    """
     first = cut_lineage(canonical_candidates(with_candidate_fields(candidates)))
     is_seed = F.coalesce("seed", F.lit(False)) | (F.coalesce("hint_doc_type", F.lit("")) == "listing")
     children = expand_listings(first.filter(is_seed), landed, max_child_links)
-    wanted = cut_lineage(replace_seeds(first, children, max_candidates))
+    wanted = cut_lineage(with_children(first, children, max_candidates) if keep_seeds else replace_seeds(first, children, max_candidates))
     planned = plan_access(wanted.drop("anti_bot_score"), health)
     results = cut_lineage(gather_results(planned, landed))
     extracted = extract(wanted, results)

@@ -13,7 +13,7 @@ from ..functions.markup import (
 from ..functions.text import clean_text, drop_tags, language_guess
 from ..functions.vocab import CHANGELOG_URL_PARTS, KNOWN_SOURCE_TITLES, MONTHS
 from ..operators.dedup import keep_last
-from ..operators.fetching import CHALLENGES, child_strategy
+from ..operators.fetching import CHALLENGES, child_strategy, fetch_verdict
 from ..operators.unions import explode_computed
 
 # --- fixed values: anchor and entry patterns --------------------------------------------
@@ -425,12 +425,18 @@ def normalize_documents(extracted: DataFrame) -> DataFrame:
 
 # --- X14 -------------------------------------------------------------------------------------------------
 def expand_listings(seeds: DataFrame, landed: DataFrame, max_child_links: int | None = None) -> DataFrame:
-    """Item candidates of the seed pages that were landed. The last landed page of a url counts, and only if its fetch succeeded."""
+    """Item candidates of the seed pages that were landed.
+
+    The last landed page of a url counts, and only if its fetch succeeded by
+    P13, so challenges and error pages open nothing.
+    """
     cand = with_candidate_fields(seeds)
     if "ts" in landed.columns:
         tied = landed.withColumn("_tie", F.xxhash64("status_code", "raw_html"))
         landed = keep_last(tied, ["url"], ["ts", "_tie"])
-    if "status_code" in landed.columns:
+    if {"status_code", "headers", "content_type"} <= set(landed.columns):
+        landed = landed.withColumn("_v", fetch_verdict(F.col("status_code"), F.col("headers"), F.col("content_type"), F.col("raw_html"))).filter("_v.success")
+    elif "status_code" in landed.columns:
         landed = landed.filter(F.col("status_code").between(200, 399))
     joined = cand.join(landed.select("url", F.col("raw_html").alias("html")), "url")
     both = with_plain_links(with_listing_items(joined, max_child_links), max_child_links)
