@@ -113,7 +113,7 @@ def finding_page(spark, folder):
     d AS (SELECT l_orderkey, string_agg('Line ' || lid, '|' ORDER BY n) AS events, string_agg(CASE WHEN l_linenumber <> 1 THEN 'src' || l_suppkey WHEN l_linenumber <> 2 THEN 'docs' END || ':' || CASE WHEN l_linenumber <> 2 THEN 'Part ' || l_partkey ELSE '-' END, '|' ORDER BY n) AS evidence FROM e WHERE n <= 10 GROUP BY 1),
     r AS (SELECT run_id, o_custkey, min(o_orderkey) AS k FROM o GROUP BY ALL)
     SELECT 'fd_' || o_orderkey AS finding_id, 'Finding ' || o_orderkey AS title, 'Trend ' || o_orderkey AS trend, coalesce(events, '') AS events, coalesce(evidence, '') AS evidence,
-      coalesce((SELECT 'rec_' || r.run_id || '_' || r.o_custkey FROM r WHERE r.k = o.o_orderkey), '') AS recommendations, (SELECT count(*) FROM l WHERE l.l_orderkey = o.o_orderkey) AS event_count FROM o LEFT JOIN d ON l_orderkey = o_orderkey
+      coalesce((SELECT 'rec_' || r.run_id || '_' || r.o_custkey FROM r WHERE r.k = o.o_orderkey), '') AS recommendations, (SELECT count(*) FROM r WHERE r.k = o.o_orderkey) AS recommendation_count, (SELECT count(*) FROM l WHERE l.l_orderkey = o.o_orderkey) AS event_count FROM o LEFT JOIN d ON l_orderkey = o_orderkey
     """,
 )
 def finding_details(spark, folder):
@@ -123,7 +123,8 @@ def finding_details(spark, folder):
     return d.select(
         "finding_id", "title", F.col("related_trend.title").alias("trend"), F.coalesce(joined(F.col("related_events.canonical_title")), empty).alias("events"),
         F.coalesce(joined(F.transform("related_evidence", lambda e: s(e["source_id"], ":", F.coalesce(e["title"], F.lit("-"))))), empty).alias("evidence"),
-        F.coalesce(joined(F.col("related_recommendations.recommendation_id")), empty).alias("recommendations"), big(F.col("event_count")).alias("event_count"),
+        F.coalesce(joined(F.col("related_recommendations.recommendation_id")), empty).alias("recommendations"),
+        F.coalesce("related_recommendations_count", F.lit(0).cast("long")).alias("recommendation_count"), big(F.col("event_count")).alias("event_count"),
     )
 
 
@@ -139,11 +140,11 @@ def trend_details(spark, folder):
     return reads.trend_detail(x["trends"], x["events"]).select("trend_id", "title", F.coalesce(joined(F.col("related_events.event_id")), F.lit("")).alias("events"))
 
 
-@query("event_details", f"WITH {_L} SELECT 'evt_' || lid AS event_id, 'Line ' || lid AS canonical_title, 'evi_' || lid AS evidence, (l_linenumber % 3 <> 0)::BIGINT AS evidence_count FROM l")
+@query("event_details", f"WITH {_L} SELECT 'evt_' || lid AS event_id, 'Line ' || lid AS canonical_title, 'evi_' || lid AS evidence, (l_linenumber % 3 <> 0)::BIGINT AS evidence_count, 1::BIGINT AS link_count FROM l")
 def event_details(spark, folder):
     x = star_layers(spark, folder)
     return reads.event_detail(x["events"], x["evidence"], x["links"]).select(
-        "event_id", "canonical_title", joined(F.col("evidence_items.evidence_id")).alias("evidence"), big(F.col("evidence_count")).alias("evidence_count")
+        "event_id", "canonical_title", joined(F.col("evidence_items.evidence_id")).alias("evidence"), big(F.col("evidence_count")).alias("evidence_count"), "link_count"
     )
 
 
@@ -151,13 +152,13 @@ def event_details(spark, folder):
     "evidence_details",
     f"""
     WITH {_L} SELECT 'evi_' || lid AS evidence_id, 'doc_' || lid AS document_id, CASE WHEN l_linenumber <> 1 THEN 'src' || l_suppkey ELSE 'docs' END AS source_id,
-      CASE WHEN l_linenumber <> 2 THEN 'Part ' || l_partkey END AS title, 'Text of ' || lid AS body_text, 'evt_' || lid AS events FROM l
+      CASE WHEN l_linenumber <> 2 THEN 'Part ' || l_partkey END AS title, 'Text of ' || lid AS body_text, 'evt_' || lid AS events, 1::BIGINT AS event_count FROM l
     """,
 )
 def evidence_details(spark, folder):
     x = star_layers(spark, folder)
     return reads.evidence_detail(x["evidence"], x["documents"], x["links"], x["events"]).select(
-        "evidence_id", "document_id", "source_id", "title", "body_text", joined(F.col("linked_events.event_id")).alias("events")
+        "evidence_id", "document_id", "source_id", "title", "body_text", joined(F.col("linked_events.event_id")).alias("events"), F.col("linked_event_count").alias("event_count")
     )
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import empty_strings, first_nonempty
-from ..operators.ordering import one_row, page, page_info, row_count
+from ..operators.ordering import one_row, page, page_info, row_count, top_n_per
 
 # --- P16 ---------------------------------------------------------------------------------
 FILTERS = {
@@ -118,6 +118,14 @@ def _children(parents: DataFrame, key: str, ids: Column, n: int | None, children
     return parents.join(grouped, ["run_id", key], "left")
 
 
+def _first_of(rows: DataFrame, key: str, value: Column, most: int, name: str) -> DataFrame:
+    """Per run and key, an ordered array of the first `most` values, and how many there are in all."""
+    named = rows.select("run_id", key, value.alias("_v"))
+    counts = named.groupBy("run_id", key).agg(F.count("*").alias(f"{name}_count"))
+    top = top_n_per(named, ["run_id", key], ["_v"], most).groupBy("run_id", key).agg(F.array_sort(F.collect_list("_v")).alias(name))
+    return top.join(counts, ["run_id", key])
+
+
 def event_fields() -> list[Column]:
     return [
         F.col("event_id"), first_nonempty(F.col("canonical_title"), F.col("title"), F.col("event_id")).alias("canonical_title"),
@@ -134,8 +142,8 @@ def _evidence_with_docs(evidence: DataFrame, documents: DataFrame) -> DataFrame:
     return evidence.join(docs, (F.col("run_id") == F.col("_r")) & (F.col("doc_id") == F.col("_d")), "left").drop("_r", "_d")
 
 
-def finding_detail(findings, trends, events, evidence, documents, recommendations, signals) -> DataFrame:
-    """Findings with trend, first 10 events, first 10 evidence rows and recommendations."""
+def finding_detail(findings, trends, events, evidence, documents, recommendations, signals, most: int = 20) -> DataFrame:
+    """Findings with trend, first 10 events, first 10 evidence rows, the first `most` recommendations and their count."""
     f = finding_summary(findings)
     t = trends.select("run_id", "trend_id", F.struct(*[F.col(c) for c in trends.columns if c not in ("run_id",)]).alias("related_trend"))
     out = f.join(t, ["run_id", "trend_id"], "left")
@@ -151,9 +159,7 @@ def finding_detail(findings, trends, events, evidence, documents, recommendation
         "related_evidence",
     )
     lead = recommendations.join(signals.select("run_id", "signal_id", "finding_id"), ["run_id", "signal_id"])
-    recs = lead.groupBy("run_id", "finding_id").agg(
-        F.array_sort(F.collect_list(F.struct("recommendation_id", "recommended_action", "priority"))).alias("related_recommendations")
-    )
+    recs = _first_of(lead, "finding_id", F.struct("recommendation_id", "recommended_action", "priority"), most, "related_recommendations")
     return out.join(recs, ["run_id", "finding_id"], "left")
 
 
@@ -163,32 +169,33 @@ def trend_detail(trends: DataFrame, events: DataFrame) -> DataFrame:
     return _children(trend_summary(trends), "trend_id", F.col("event_ids"), 20, events, "event_id", fields, "related_events")
 
 
-def event_detail(events: DataFrame, evidence: DataFrame, links: DataFrame) -> DataFrame:
-    """Events with their first 20 evidence rows; links stand in when the list is empty."""
+def event_detail(events: DataFrame, evidence: DataFrame, links: DataFrame, most: int = 20) -> DataFrame:
+    """Events with their first `most` evidence rows; links stand in when the list is empty. `link_count` counts all links."""
     e = event_summary(events)
     fields = [F.col("evidence_id"), F.col("doc_id"), F.col("source_id"), F.col("text")]
-    direct = _children(e.filter(F.col("evidence_count") > 0), "event_id", F.col("supporting_evidence_ids"), 20, evidence, "evidence_id", fields, "evidence_items")
+    direct = _children(e.filter(F.col("evidence_count") > 0), "event_id", F.col("supporting_evidence_ids"), most, evidence, "evidence_id", fields, "evidence_items")
     bare = e.filter(F.col("evidence_count") == 0)
-    linked = links.groupBy("run_id", "event_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("link_id", "evidence_id"))), lambda x: x["evidence_id"]).alias("_ids")
-    )
-    through = _children(bare.join(linked, ["run_id", "event_id"], "left"), "event_id", F.col("_ids"), None, evidence, "evidence_id", fields, "evidence_items").drop("_ids")
-    return direct.unionByName(through)
+    linked = _first_of(links, "event_id", F.struct("link_id", "evidence_id"), most, "link")
+    ids = F.transform("link", lambda x: x["evidence_id"])
+    through = _children(bare.join(linked, ["run_id", "event_id"], "left"), "event_id", ids, most, evidence, "evidence_id", fields, "evidence_items").drop("link")
+    counts = linked.select("run_id", "event_id", "link_count")
+    both = direct.join(counts, ["run_id", "event_id"], "left").unionByName(through)
+    return both.withColumn("link_count", F.coalesce("link_count", F.lit(0).cast("long")))
 
 
-def evidence_detail(evidence: DataFrame, documents: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
-    """Evidence with its document and the events that cite it."""
+def evidence_detail(evidence: DataFrame, documents: DataFrame, links: DataFrame, events: DataFrame, most: int = 20) -> DataFrame:
+    """Evidence with its document, the first `most` events that cite it and their count."""
     docs = documents.select(
         F.col("run_id").alias("_r"), F.col("document_id").alias("_d"), "title", "canonical_url", F.col("source_id").alias("_src"),
         F.col("origin_type"), F.col("body_text").alias("_body"),
     )
     ev = evidence.join(docs, (F.col("run_id") == F.col("_r")) & (F.col("doc_id") == F.col("_d")), "left")
-    cited = links.select("run_id", "evidence_id", "event_id").join(
-        events.select("run_id", "event_id", F.struct(*event_fields()).alias("e")), ["run_id", "event_id"]
-    ).groupBy("run_id", "evidence_id").agg(F.array_sort(F.collect_list("e")).alias("linked_events"))
+    known = links.select("run_id", "evidence_id", "event_id").join(events.select("run_id", "event_id", F.struct(*event_fields()).alias("e")), ["run_id", "event_id"])
+    cited = _first_of(known, "evidence_id", F.col("e"), most, "linked_events")
     return ev.join(cited, ["run_id", "evidence_id"], "left").select(
         "run_id", "evidence_id", F.coalesce("_d", "doc_id").alias("document_id"), first_nonempty(F.col("source_id"), F.col("_src")).alias("source_id"),
         "origin_type", "title", "canonical_url", first_nonempty(F.col("text"), F.col("_body")).alias("body_text"), "source_trace", "linked_events",
+        F.coalesce("linked_events_count", F.lit(0).cast("long")).alias("linked_event_count"),
     )
 
 
