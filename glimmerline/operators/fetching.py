@@ -110,9 +110,14 @@ def fetch_verdict(status: Column, headers: Column, content_type: Column, body: C
 
 def classify_results(results: DataFrame) -> DataFrame:
     """Verdict columns; a challenge degrades the mode to metadata only."""
-    out = results.withColumn(
-        "_v", fetch_verdict(F.col("status_code"), F.col("headers"), F.col("content_type"), F.col("raw_html"))
-    ).withColumns(
+    return with_verdict(
+        results.withColumn("_v", fetch_verdict(F.col("status_code"), F.col("headers"), F.col("content_type"), F.col("raw_html")))
+    )
+
+
+def with_verdict(results: DataFrame) -> DataFrame:
+    """The fields of the verdict `_v` as columns."""
+    out = results.withColumns(
         {"block_type": F.col("_v.block_type"), "success": F.col("_v.success"), "retryable": F.col("_v.retryable"),
          "platform": F.col("_v.platform")}
     )
@@ -147,22 +152,39 @@ def unfetched_results(planned: DataFrame) -> DataFrame:
     )
 
 
+def landed_at() -> Column:
+    """Which of a url's landed rows: its time, and a hash that tells rows of one time apart."""
+    return F.struct("ts", F.xxhash64("status_code", "raw_html").alias("tie"))
+
+
 def gather_results(planned: DataFrame, landed: DataFrame) -> DataFrame:
-    """One classified result per planned url; the last landed one counts."""
-    tied = landed.withColumn("_tie", F.xxhash64("status_code", "raw_html"))  # equal times still give one answer
-    last = keep_last(tied, ["url"], ["ts", "_tie"]).select(
-        "url", "final_url", "status_code", "content_type", "headers", "raw_html", "error"
+    """One classified result per planned url; the last landed one counts.
+
+    Bodies are read where they lie: the verdict, and whether there is a body,
+    are columns of the landed row. Only these and the row's address (`landed_at`)
+    are grouped and joined.
+    """
+    slim = landed.select(
+        "url", "final_url", "status_code", "content_type", "headers", "error", landed_at().alias("landed_at"), has_body(F.col("raw_html")).alias("has_body"),
+        fetch_verdict(F.col("status_code"), F.col("headers"), F.col("content_type"), F.col("raw_html")).alias("_v"),
     )
+    last = keep_last(slim, ["url"], ["landed_at"])
     fetched = planned.filter(~F.col("mode").isin("metadata_only", "skip")).select(
         "source_id", "company", "url", F.col("mode").alias("fetch_mode")
     ).join(last, "url", "left")
-    quiet = unfetched_results(planned)
-    return classify_results(fetched.unionByName(quiet))
+    quiet = unfetched_results(planned).drop("raw_html")
+    both = fetched.unionByName(quiet, allowMissingColumns=True)
+    none = fetch_verdict(F.col("status_code"), F.col("headers"), F.col("content_type"), F.lit(""))
+    return with_verdict(both.withColumns({"_v": F.coalesce("_v", none), "has_body": F.coalesce("has_body", F.lit(False))}))
+
+
+def has_body(html: Column) -> Column:
+    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?U)\s+", "") != ""
 
 
-def pick_extractor() -> Column:
-    """Which of the four extractors reads the page."""
-    body = F.regexp_replace(F.coalesce("raw_html", F.lit("")), r"(?U)\s+", "") != ""
+def pick_extractor(body: Column | None = None) -> Column:
+    """Which of the four extractors reads the page; `body` tells whether it has one, if the page itself is not at hand."""
+    body = has_body(F.col("raw_html")) if body is None else body
     index = F.coalesce("source_strategy", F.lit("")) == "structured_index"
     seed = F.coalesce("seed", F.lit(False)) | (F.coalesce("hint_doc_type", F.lit("")) == "listing")
     mode = F.col("fetch_mode")

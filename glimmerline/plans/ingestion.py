@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
 from ..operators.dedup import document_keys, greedy_dedup, keep_first
-from ..operators.fetching import gather_results, pick_extractor, plan_access
+from ..operators.fetching import gather_results, landed_at, pick_extractor, plan_access
 from ..operators.health import document_health, run_stats, source_health
 from ..operators.ordering import top_n, with_positions
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources.store import attempt_rows
 from .pages import (
     expand_listings, extract_fulltext, extract_index, extract_listing, extract_metadata, normalize_documents, with_candidate_fields,
 )
 
+_SLIM = ("_row", "url", "pos", "child_at", "canonical_url", "content_hash", "title", "published_at", "source_id", "detail_fetch_attempt",
+         "detail_extract_success", "metadata_fallback")
 EXTRACTORS = {"fulltext": extract_fulltext, "listing": extract_listing, "metadata": extract_metadata, "index": extract_index}
 
 
@@ -42,11 +44,18 @@ def with_children(candidates: DataFrame, children: DataFrame, max_candidates: in
     return top_n(keep_first(both, ["url"], ["pos", "child_at"]), [F.col("pos"), F.col("child_at")], max_candidates)
 
 
-def extract(candidates: DataFrame, results: DataFrame) -> DataFrame:
-    """Every page through the extractor that its row asks for."""
-    fields = results.select("url", "raw_html", "status_code", "fetch_mode", "block_type", "success", "error")
-    joined = with_candidate_fields(candidates).join(fields, "url").withColumn("extractor", pick_extractor())
-    joined = cut_lineage(joined)
+def extract(candidates: DataFrame, results: DataFrame, landed: DataFrame) -> DataFrame:
+    """Every page through the extractor that its row asks for.
+
+    Candidates and results carry no body. It is joined here, from the landed
+    rows that the results name, and goes straight into the extractor.
+    """
+    fields = results.select("url", "status_code", "fetch_mode", "block_type", "success", "error", "has_body", "landed_at")
+    asked = cut_lineage(
+        with_candidate_fields(candidates).join(fields, "url").withColumn("extractor", pick_extractor(F.col("has_body"))).drop("has_body")
+    )
+    bodies = landed.select("url", landed_at().alias("landed_at"), "raw_html")
+    joined = asked.join(bodies, ["url", "landed_at"], "left").drop("landed_at")
     return reduce(
         DataFrame.unionByName, [job(joined.filter(F.col("extractor") == name)) for name, job in EXTRACTORS.items()]
     )
@@ -68,22 +77,27 @@ def ingest(
     wanted = cut_lineage(with_children(first, children, max_candidates) if keep_seeds else replace_seeds(first, children, max_candidates))
     planned = plan_access(wanted.drop("anti_bot_score"), health)
     results = cut_lineage(gather_results(planned, landed))
-    extracted = extract(wanted, results)
+    extracted = extract(wanted, results, landed)
     about = wanted.select("url", "source_type", "hint_doc_type", "pos", "child_at").join(
         results.select("url", "status_code", "fetch_mode", "block_type"), "url"
     )
-    docs = normalize_documents(extracted.join(about, "url")).withColumn("ingested_at", now)
-    ordered = cut_lineage(with_positions(docs, ["pos", "child_at", "url"], "doc_pos"))
-    unique = cut_lineage(
+    # written once with a row number, by which the few kept columns find their text again
+    docs = written(
+        normalize_documents(extracted.join(about, "url")).withColumns({"ingested_at": now, "_row": F.monotonically_increasing_id()}), "documents"
+    )
+    slim = keep_first(docs.select(*_SLIM), ["url"], ["_row"])  # a body landed twice in one moment is one document
+    ordered = cut_lineage(with_positions(slim, ["pos", "child_at", "url"], "doc_pos"))
+    chosen = cut_lineage(
         greedy_dedup(
             ordered, "doc_pos",
             document_keys(F.col("canonical_url"), F.col("content_hash"), F.col("title"), F.col("published_at")),
         )
     )
+    unique = docs.join(chosen.select("_row", "doc_pos"), "_row").drop("_row")
     timed = results.join(wanted.select("url", F.struct("pos", "child_at").alias("pos")), "url").withColumn("ts", now)
     return {
         "candidates": wanted, "results": results, "documents": unique, "attempts": attempt_rows(results, now),
         "source_health": source_health(timed.select("source_id", "ts", "pos", "block_type", "success"), health),
-        "document_health": document_health(unique),
-        "stats": run_stats(discovered=candidates, fetched=results, normalized=ordered, deduped=unique),
+        "document_health": document_health(chosen),
+        "stats": run_stats(discovered=candidates, fetched=results, normalized=ordered, deduped=chosen),
     }

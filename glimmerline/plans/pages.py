@@ -13,7 +13,7 @@ from ..functions.markup import (
 from ..functions.text import clean_text, drop_tags, language_guess
 from ..functions.vocab import CHANGELOG_URL_PARTS, KNOWN_SOURCE_TITLES, MONTHS
 from ..operators.dedup import keep_last
-from ..operators.fetching import CHALLENGES, child_strategy, fetch_verdict
+from ..operators.fetching import CHALLENGES, child_strategy, fetch_verdict, landed_at
 from ..operators.unions import explode_computed
 
 # --- fixed values: anchor and entry patterns --------------------------------------------
@@ -432,8 +432,9 @@ def expand_listings(seeds: DataFrame, landed: DataFrame, max_child_links: int |
     """
     cand = with_candidate_fields(seeds)
     if "ts" in landed.columns:
-        tied = landed.withColumn("_tie", F.xxhash64("status_code", "raw_html"))
-        landed = keep_last(tied, ["url"], ["ts", "_tie"])
+        placed = landed.join(cand.select("url").distinct(), "url", "left_semi").withColumn("landed_at", landed_at())
+        last = keep_last(placed.select("url", "landed_at"), ["url"], ["landed_at"])  # the pages themselves are not sorted
+        landed = placed.join(last, ["url", "landed_at"])
     if {"status_code", "headers", "content_type"} <= set(landed.columns):
         landed = landed.withColumn("_v", fetch_verdict(F.col("status_code"), F.col("headers"), F.col("content_type"), F.col("raw_html"))).filter("_v.success")
     elif "status_code" in landed.columns:

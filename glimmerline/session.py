@@ -62,6 +62,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written once as Parquet under the shared folder; for wide rows that later steps read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_out(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition for work that is heavy per row.
 
