@@ -3,8 +3,11 @@
 The network reads a word at a time, between two boundary bytes, labels every
 position, and a document's probabilities are the mean over all its positions.
 State does not cross words, so equal words of a block are run once and count
-as often as they occur: all bytes of all texts are read. Training is
-backpropagation through time in numpy, on a bounded sample of words.
+as often as they occur. Words are runs of letters (ASCII letters and all that
+is not ASCII); blanks, digits and punctuation only part them, are not read by
+the network and get no label, and runs above 40 bytes are cut. Training is
+backpropagation through time in numpy, on a bounded sample of words; it takes
+1,000 languages at most and refuses more.
 """
 
 from __future__ import annotations

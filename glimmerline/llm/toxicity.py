@@ -331,6 +331,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     About `most_per_class` documents of each label are drawn by a hash of
     their id; a label of fewer is used whole. Of an id that has several labels
     the highest counts. Without labelled rows the fixed lists alone are used.
+    Of the sample's terms the 50,000 most frequent of each label are looked at,
+    and `pick_terms` keeps 1,500 of them at most; both bound what the driver holds.
     """
     spark = docs.sparkSession
     fixed = np.unique(np.array([term_of(w) for words in INSULTS for w in words], np.uint64))

@@ -42,6 +42,7 @@ RULES = (
 FEATURES = (
     "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens", "entropy", "host_entropy",
     "parameters", "longest_segment", "suffix_rate", "suffix_rows", "domain_rate", "domain_rows",
+    "segment_rate", "segment_rows",
 )
 
 
@@ -88,23 +89,37 @@ def _with_lexical(frame: DataFrame) -> DataFrame:
         "longest_segment": F.coalesce(F.array_max(F.transform(F.split(path, "/"), F.length)), F.lit(0)),
     }
     return frame.withColumns({k: v.cast("double") for k, v in values.items()} | {
-        "suffix": F.element_at(F.split(host, r"\."), -1), "domain": F.array_join(F.slice(F.split(F.concat(F.lit("."), host), r"\."), -2, 2), "."),
+        "suffix": F.element_at(F.split(host, r"\."), -1), "segment": F.coalesce(F.get(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(0)), F.lit("")), "domain": F.array_join(F.slice(F.split(F.concat(F.lit("."), host), r"\."), -2, 2), "."),
     })
 
 
+_RATED = ("suffix", "domain", "segment")
+_FOLDS = 5
+
+
 def _with_rates(frame: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Block rate and log count of a URL's host suffix and domain among labelled URLs, drawn to one half by ten rows."""
-    for name in ("suffix", "domain"):
-        rates = labelled.groupBy(name).agg(
-            ((F.sum("label") + 5) / (F.count("*") + 10)).alias(f"{name}_rate"), F.log1p(F.count("*").cast("double")).alias(f"{name}_rows")
-        )
-        frame = frame.join(rates, name, "left").fillna({f"{name}_rate": 0.5, f"{name}_rows": 0.0})
+    """Block rate and log count of a URL's host suffix, domain and first path segment among labelled URLs, drawn to one half by ten rows.
+
+    A labelled URL is rated by the other folds only (folds by a hash of the
+    URL), so that no rate holds the label that it helps to learn.
+    """
+    own = F.col("ruled").isNotNull() & F.col("seen")
+    frame = frame.withColumn("fold", F.when(own, F.pmod(F.xxhash64("url", F.lit(3)), F.lit(_FOLDS))).otherwise(-1))
+    for name in _RATED:
+        sums = F.sum("label").alias(f"{name}_sum"), F.count("*").alias(f"{name}_n")
+        folds = labelled.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(3)), F.lit(_FOLDS))).groupBy(name, "fold").agg(*sums)
+        every = folds.groupBy(name).agg(F.sum(f"{name}_sum").alias("s"), F.sum(f"{name}_n").alias("n"))
+        frame = frame.join(every, name, "left").join(folds, [name, "fold"], "left")
+        left = lambda total, part: F.coalesce(F.col(total), F.lit(0)) - F.coalesce(F.col(part), F.lit(0))
+        frame = frame.withColumns({
+            f"{name}_rate": (left("s", f"{name}_sum") + 5) / (left("n", f"{name}_n") + 10), f"{name}_rows": F.log1p(left("n", f"{name}_n").cast("double")),
+        }).drop("s", "n", f"{name}_sum", f"{name}_n")
     return frame
 
 
 def judged(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[HostRule, ...] = RULES, sample: int = 20_000,
-    trees: int = 12, depth: int = 4,
+    trees: int = 12, depth: int = 4, learn_from: Column | None = None,
 ) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, block_score.
 
@@ -112,20 +127,23 @@ def judged(
     drawn by a hash of the URL. Suffix counts are taken over all of those.
     If they all have one verdict, it holds for every other URL; without any,
     the rest is allowed. Null URLs and URLs without `://` have an empty host
-    and path. Repeated rows give repeated rows; null ids stay.
+    and path. Repeated rows give repeated rows; null ids stay. `learn_from`, a
+    condition on `pages`, names the rows that the trees and counts may see, so
+    that the others can be held out; it is all of them if unset.
     """
-    host, path = url_parts(F.col(url))
-    frame = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url")).withColumns({"host": host, "path": path})
+    host, path = url_parts(F.col("url"))
+    seen = F.lit(True) if learn_from is None else learn_from
+    frame = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), seen.alias("seen")).withColumns({"host": host, "path": path})
     rule, ruled = rule_for(F.col("host"), F.col("path"), rules)
     frame = _with_lexical(frame.withColumns({"rule": rule, "ruled": ruled}))
-    labelled = frame.filter("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
+    labelled = frame.filter("ruled is not null and seen").withColumn("label", (F.col("ruled") == "block").cast("double"))
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(counts) < 2:
         only = "block" if 1.0 in counts else "allow"
         out = frame.withColumn("block_score", F.lit(float(only == "block")))
     else:
         rated = stored(_with_rates(frame, labelled), "urls")
-        drawn = rated.filter(F.col("ruled").isNotNull() & (F.xxhash64("url") / 2.0**64 + 0.5 < sample / sum(counts.values())))
+        drawn = rated.filter(F.col("ruled").isNotNull() & F.col("seen") & (F.xxhash64("url") / 2.0**64 + 0.5 < sample / sum(counts.values())))
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
         train = assembler.transform(drawn.withColumn("label", (F.col("ruled") == "block").cast("double"))).select("features", "label")
         model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11).fit(train)
