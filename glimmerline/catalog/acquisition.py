@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.acquisition import search_discovery, social_batches
+from ..plans.collect import Official, Search, Social, collect_sources
 from ..plans.discovery import discover
 from ..sources.payloads import (
     document_records, feed_candidates, feed_records, hn_cursor, hn_item_candidates, hn_search_candidates, official_records,
@@ -342,15 +343,19 @@ def social_health_query(spark, folder):
 )
 def social_run(spark, folder):
     """X17 over order pages as subreddits and conversations as comments."""
+    out = social_batches(*social_inputs(spark, folder))
+    return union_batches(enriched=out["records"], fallback=out["fallback"]).select(
+        "channel", "provider_id", "external_id", big(F.length("text")).alias("n_chars"), F.round("quality_score", 6).alias("quality_score"), "metadata_fallback"
+    )
+
+
+def social_inputs(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     pay = _reddit_payloads(spark, folder)
     src = scan_social_sources(pay.select("source_id", "platform", "source_type", F.lit(True).alias("include_comments"), F.lit(3).alias("trust_tier")))
     com = table(spark, folder, "conversations").select(
         s("t3_", F.col("conv_id").cast("string")).alias("external_id"), F.col("turn").alias("at"), F.col("role").alias("author"), F.col("text").alias("body"), (F.col("conv_id") % 7 == 0).alias("failed")
     )
-    out = social_batches(src, pay, com)
-    return union_batches(enriched=out["records"], fallback=out["fallback"]).select(
-        "channel", "provider_id", "external_id", big(F.length("text")).alias("n_chars"), F.round("quality_score", 6).alias("quality_score"), "metadata_fallback"
-    )
+    return src, pay, com
 
 
 # --- S11, A1, F28-F33, J7 -----------------------------------------------------------------------------------
@@ -518,13 +523,17 @@ def planned_searches_query(spark, folder):
 )
 def search_run(spark, folder):
     """One landed response per planned search, each with the monitor's own page."""
+    ranked, _ = search_discovery(*search_inputs(spark, folder), F.lit("2024-01-01").cast("timestamp"), top=None, min_score=0.0)
+    return ranked.select("canonical_url", "evidence_count", big(F.col("fetch_priority")).alias("fetch_priority"))
+
+
+def search_inputs(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     m = monitors(spark, folder)
     plan = planned_searches(build_queries(m.filter("enabled")), monitor_providers(m, _providers(spark)))
     item = s('{"url":"https://site.example/', F.substring("monitor_id", 2, 20), '","title":"A longer title"}')
     body = F.when(F.col("provider") == "newsapi", s('{"articles":[', item, "]}")).when(F.col("provider") == "brave", s('{"web":{"results":[', item, "]}}")).otherwise(s('{"results":[', item, "]}"))
     domains = spark.range(1).select(F.lit("official.example").alias("domain"))
-    ranked, _ = search_discovery(m, _providers(spark), plan.select("query_id", "provider_id", body.alias("body")), domains, F.lit("2024-01-01").cast("timestamp"), top=None, min_score=0.0)
-    return ranked.select("canonical_url", "evidence_count", big(F.col("fetch_priority")).alias("fetch_priority"))
+    return m, _providers(spark), plan.select("query_id", "provider_id", body.alias("body")), domains
 
 
 # --- S12, S15, S16, P17, X19 ---------------------------------------------------------------------------------
@@ -558,6 +567,10 @@ def stamped_candidates(spark, folder):
 
 
 def discovery_run(spark, folder) -> tuple[DataFrame, DataFrame]:
+    return discover(*discovery_inputs(spark, folder), max_candidates=None)
+
+
+def discovery_inputs(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Suppliers as sources with a feed, landed twice, a REST list and a listing page each; bodies from their parts."""
     k = F.col("s_suppkey").cast("string")
     sup = table(spark, folder, "supplier").select("s_suppkey", F.row_number().over(_by("s_nationkey", "s_suppkey")).alias("r"))
@@ -580,7 +593,7 @@ def discovery_run(spark, folder) -> tuple[DataFrame, DataFrame]:
     )
     apis = feeds.select(F.col("api").alias("url"), F.col("api_body").alias("body"))
     none = feeds.select("url", "body").limit(0)
-    return discover(sources, feeds.select("url", "body").unionByName(feeds.select("url", "body")), none, apis, max_candidates=None)
+    return sources, feeds.select("url", "body").unionByName(feeds.select("url", "body")), none, apis
 
 
 def _by(key: str, order: str):
@@ -615,3 +628,38 @@ def official_discovery(spark, folder):
 )
 def discovery_report(spark, folder):
     return discovery_run(spark, folder)[1]
+
+
+@query(
+    "collected_records",
+    f"""
+    WITH {_DISC_SQL}, {_MON_SQL}, {_P}, off AS (
+      SELECT 's' || k AS source_id, 'https://s' || k || '.example/n/' || n AS url FROM f WHERE k % 2 = 1 OR k % 3 <> 0 OR place = 1
+      UNION ALL SELECT 's' || s_suppkey, 'https://s' || s_suppkey || '.example/news' FROM supplier WHERE s_suppkey % 2 = 1
+      UNION ALL SELECT 's' || s_suppkey, 'https://s' || s_suppkey || '.example/n/' || s_suppkey || '/story-of-the-day' FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 5 <> 0),
+    sites AS (SELECT DISTINCT k, 'https://site.example/' || k AS url FROM q WHERE k % 10 <> 0 AND k % 3 <> 0),
+    every AS (
+      SELECT 0 AS place, 'official' AS channel, 'official:' || source_id AS provider_id, url AS external_id, 'official:' || source_id || ':' || url AS idempotency_key FROM off
+      UNION ALL SELECT CASE WHEN failed THEN 2 ELSE 1 END, CASE WHEN failed THEN 'social_fallback' ELSE 'social' END, 'social:sub' || page, 't3_' || o_orderkey, 'social:sub' || page || ':t3_' || o_orderkey
+        FROM (SELECT page, o_orderkey, o_orderkey % 7 = 0 AND o_orderkey IN (SELECT conv_id FROM conversations) AS failed FROM p WHERE o_orderkey % 6 <> 0)
+      UNION ALL SELECT 3, 'search', 'search:search:' || substring(sha256(url), 1, 20), url, 'search:search:' || substring(sha256(url), 1, 20) || ':' || url FROM sites)
+    SELECT row_number() OVER (ORDER BY place, provider_id, external_id) - 1 AS pos, channel, provider_id, external_id, idempotency_key FROM every
+    """,
+)
+def collected_records(spark, folder):
+    """S16 fed by X19 with D5, X17 and X16 with S14: the raw table with which a five-layer run begins."""
+    sources, feeds, maps, apis = discovery_inputs(spark, folder)
+    k = F.col("s_suppkey").cast("string")
+    html = s("<html><a href='/n/", k, "/story-of-the-day'>The story of the day</a><a href='/about'>About</a></html>")
+    pages = table(spark, folder, "supplier").filter("s_suppkey % 5 <> 0").select(s("https://s", k, ".example/news").alias("url"), html.alias("raw_html"))
+    m, providers, responses, domains = search_inputs(spark, folder)
+    number = F.substring("monitor_id", 2, 20)
+    fetched = m.select(
+        s("https://site.example/", number).alias("url"), F.lit(None).cast("string").alias("final_url"), (number.cast("bigint") % 3 != 0).alias("success"),
+        F.lit(200).alias("status_code"), F.lit("text/html").alias("content_type"), s("Page of ", number).alias("raw_text"), F.lit(None).cast("string").alias("error"),
+    ).distinct()
+    out = collect_sources(
+        Official(sources, feeds, maps, apis, pages), Social(*social_inputs(spark, folder)), Search(m, providers, responses, domains, fetched, 0.0),
+        F.lit("2024-01-01").cast("timestamp"),
+    )
+    return out["raw"].select("pos", "channel", "provider_id", "external_id", "idempotency_key")

@@ -28,11 +28,14 @@ def canonical_candidates(candidates: DataFrame, pos: str = "pos") -> DataFrame:
     return keep_first(allowed, ["url"], [pos])
 
 
+def is_seed() -> Column:
+    return F.coalesce("seed", F.lit(False)) | (F.coalesce("hint_doc_type", F.lit("")) == "listing")
+
+
 def replace_seeds(candidates: DataFrame, children: DataFrame, max_candidates: int | None = None) -> DataFrame:
     """D3: seeds give way to their children, then first per url by priority."""
-    is_seed = F.coalesce("seed", F.lit(False)) | (F.coalesce("hint_doc_type", F.lit("")) == "listing")
     expanded = children.select(F.col("parent_listing_url").alias("url")).distinct()
-    kept = candidates.filter(~is_seed).unionByName(candidates.filter(is_seed).join(expanded, "url", "left_anti"))
+    kept = candidates.filter(~is_seed()).unionByName(candidates.filter(is_seed()).join(expanded, "url", "left_anti"))
     both = kept.withColumn("child_at", F.lit(-1)).unionByName(children, allowMissingColumns=True)
     first = keep_first(both, ["url"], [F.desc("priority"), "pos", "child_at"])
     return top_n(first, [F.desc("priority"), F.col("pos"), F.col("child_at")], max_candidates)
@@ -72,8 +75,7 @@ def ingest(
     stay before them if `keep_seeds` (D5).
     """
     first = cut_lineage(canonical_candidates(with_candidate_fields(candidates)))
-    is_seed = F.coalesce("seed", F.lit(False)) | (F.coalesce("hint_doc_type", F.lit("")) == "listing")
-    children = expand_listings(first.filter(is_seed), landed, max_child_links)
+    children = expand_listings(first.filter(is_seed()), landed, max_child_links)
     wanted = cut_lineage(with_children(first, children, max_candidates) if keep_seeds else replace_seeds(first, children, max_candidates))
     planned = plan_access(wanted.drop("anti_bot_score"), health)
     results = cut_lineage(gather_results(planned, landed))
