@@ -17,7 +17,7 @@ from ..sources.payloads import (
     reddit_candidates, rest_candidates, search_records, search_results, sitemap_candidates, union_batches,
 )
 from ..sources.registry import (
-    enabled_social, listing_seeds, monitor_providers, official_domains, resolve_transports, scan_social_sources, scan_sources,
+    enabled_social, group_by_provider, listing_seeds, monitor_providers, official_domains, resolve_transports, scan_social_sources, scan_sources,
     stamp_candidates, with_strategy,
 )
 from ..sources.search import (
@@ -99,6 +99,45 @@ def transports(spark, folder):
     )
 
 
+@query(
+    "transport_modes",
+    f"""
+    WITH {_SRC_SQL}, t AS (
+      SELECT id, url AS source_url, 'rss' AS transport, 80 AS p FROM x WHERE enabled AND s_suppkey % 3 = 0
+      UNION ALL SELECT id, url, 'html_listing', 50 FROM x WHERE enabled AND s_suppkey % 3 = 0
+      UNION ALL SELECT id, url, 'rss', 100 FROM x WHERE enabled AND s_suppkey % 3 <> 0 AND s_suppkey % 6 = 1
+      UNION ALL SELECT id, url, CASE s_suppkey % 4 WHEN 0 THEN 'rss' WHEN 1 THEN 'sitemap' ELSE 'html_listing' END, CASE WHEN s_suppkey % 4 < 2 THEN 90 ELSE 60 END FROM x WHERE enabled AND s_suppkey % 3 <> 0)
+    SELECT 'rss_only' AS mode, source_url, transport, row_number() OVER (PARTITION BY id ORDER BY p DESC) AS turn FROM t WHERE transport = 'rss' AND id <> 'xai_news'
+    UNION ALL SELECT 'rss_first', source_url, transport, row_number() OVER (PARTITION BY id ORDER BY transport = 'rss' DESC, p DESC) FROM t WHERE id <> 'xai_news'
+    """,
+)
+def transport_modes(spark, folder):
+    """P8, feeds only and feeds first; of sources whose id is their own."""
+    sources = scan_sources(companies(spark, folder)).filter("id <> 'xai_news'")
+    parts = [
+        resolve_transports(sources, mode).select(F.lit(mode).alias("mode"), F.col("url").alias("source_url"), "transport", big(F.col("turn")).alias("turn"))
+        for mode in ("rss_only", "rss_first")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "flat_registry",
+    """
+    SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'unknown' ELSE n_name END AS company, 'flat_' || s_suppkey AS id,
+      CASE WHEN s_suppkey % 3 = 0 THEN 'about:blank' ELSE 'https://f' || s_suppkey || '.example/' END AS url, s_suppkey % 5 <> 0 AS enabled FROM supplier JOIN nation ON s_nationkey = n_nationkey
+    """,
+)
+def flat_registry(spark, folder):
+    """S1, the flat shape: a provider and a source per row."""
+    k = F.col("s_suppkey")
+    rows = table(spark, folder, "supplier").join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.when(k % 4 != 0, F.col("n_name")).alias("provider"), s("flat_", k.cast("string")).alias("source_id"),
+        F.when(k % 3 != 0, s("https://f", k.cast("string"), ".example/")).alias("url"), F.when(k % 5 == 0, False).alias("enabled"),
+    )
+    return group_by_provider(rows).select("company", "id", "url", "enabled")
+
+
 @query(
     "source_strategies",
     f"""

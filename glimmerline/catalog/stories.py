@@ -274,23 +274,29 @@ def alike_stories(spark, folder):
     )
 
 
-@query(
-    "alike_findings",
-    f"""
-    WITH {_ALIKE_SQL}, sc AS (SELECT *, f = 1 AS ad, round(corr, 3) >= 0.5 AS firm, round(nov, 3) >= 0.58 AS fresh FROM t),
+_ALIKE_FINDINGS_SQL = f"""
+    {_ALIKE_SQL}, sc AS (SELECT *, f = 1 AS ad, round(corr, 3) >= 0.5 AS firm, round(nov, 3) >= 0.58 AS fresh FROM t),
     r AS (SELECT *, [{{'s': 0.08 + 0.18 * (f = 0)::INT, 'k': 'risk_signal'}}, {{'s': 0.08 + 0.08 * (fresh AND NOT ad)::INT - 0.04 * ad::INT, 'k': 'opportunity_signal'}},
       {{'s': -0.05, 'k': 'competition_signal'}}, {{'s': 0.08 + 0.76 * ad::INT, 'k': 'adoption_signal'}},
       {{'s': 0.18 + 0.44 * (trend_type = 'narrative_cluster')::INT + 0.06 * firm::INT + 0.05 * fresh::INT, 'k': 'narrative_shift'}},
       {{'s': 0.15 + 0.18 * (n > 1)::INT + 0.18 * firm::INT + 0.12 * fresh::INT + 0.16 * (trend_type = 'momentum_cluster')::INT, 'k': 'momentum_signal'}}] AS l FROM sc),
     b AS (SELECT *, list_max(l) AS best, greatest(l[1].s, l[2].s, l[4].s) AS cue FROM r),
     i AS (SELECT *, CASE WHEN best.s < 0.4 THEN (CASE WHEN n > 1 THEN 'momentum_signal' ELSE 'narrative_shift' END) ELSE best.k END AS kind,
-      least(1, 0.43 + 0.18 * round(corr, 3) + 0.12 * best.s + 0.06 * least(n - 1, 2))::DOUBLE AS imp FROM b)
+      least(1, 0.43 + 0.18 * round(corr, 3) + 0.12 * best.s + 0.06 * least(n - 1, 2))::DOUBLE AS imp FROM b),
+    fd AS (SELECT *, round(imp, 3) AS importance_score, round(least(1, 0.4 * imp + 0.22 * cue + 0.06)::DOUBLE, 3) AS decision_relevance_score FROM i)
+"""
+
+
+@query(
+    "alike_findings",
+    f"""
+    WITH {_ALIKE_FINDINGS_SQL}
     SELECT 'fd_' || substring(sha256(array_to_string(list_sort([trend_id, kind]), '|')), 1, 10) AS finding_id, kind AS finding_type,
-      {_cases("kind", FINDING_LABELS)} || ' — ' || w AS title, subject, round(imp, 3) AS importance_score, round(least(1, 0.4 * imp + 0.22 * cue + 0.06)::DOUBLE, 3) AS decision_relevance_score,
+      {_cases("kind", FINDING_LABELS)} || ' — ' || w AS title, subject, importance_score, decision_relevance_score,
       {_cases("kind", {k: "|".join(v) for k, v in FINDING_ACTIONS.items()})} AS actions,
       {_cases("kind", FINDING_LABELS)} || CASE kind WHEN 'risk_signal' THEN ' for ' || subject || ': ' || w || ' (' || n || ' related event(s)).'
         WHEN 'adoption_signal' THEN ' for ' || subject || ': rollout or customer uptake is becoming visible.' WHEN 'momentum_signal' THEN ': repeated related events suggest this story is gaining traction.'
-        ELSE ': this story is shaping the surrounding narrative for ' || subject || '.' END AS summary FROM i
+        ELSE ': this story is shaping the surrounding narrative for ' || subject || '.' END AS summary FROM fd
     """,
 )
 def alike_findings(spark, folder):
@@ -302,6 +308,19 @@ def alike_findings(spark, folder):
     )
 
 
+@query(
+    "intelligence_counts",
+    f"""
+    WITH {_ALIKE_FINDINGS_SQL}, a AS (SELECT count(*) FILTER (importance_score >= 0.58 OR decision_relevance_score >= 0.52) AS n, count(*) AS m FROM fd)
+    SELECT (SELECT count(*) FROM customer) AS input_events, m AS trends, m AS findings, greatest(n, least(m, 1)) AS alerts, least(m, 3) AS briefing_items,
+      (SELECT count(*) FROM customer) - m AS merged_events FROM a
+    """,
+)
+def intelligence_counts(spark, folder):
+    """A13, the intelligence half."""
+    return alike_layers(spark, folder)["intelligence_counts"].select("input_events", "trends", "findings", "alerts", "briefing_items", "merged_events")
+
+
 # --- scored stories over the star tables ----------------------------------------------------
 _PROFILE_SQL = """
 o AS (SELECT *, round(0.40123 + ((o_custkey * 7 + o_orderkey) % 60) / 103.0::DOUBLE, 6) AS sig, 0.45 AS conf,

@@ -14,12 +14,14 @@ from ..operators.ordering import top_n, with_positions
 from ..session import cut_lineage, written
 from ..sources.store import attempt_rows
 from .pages import (
-    expand_listings, extract_fulltext, extract_index, extract_listing, extract_metadata, normalize_documents, with_candidate_fields,
+    expand_listings, extract_fulltext, extract_index, extract_listing, extract_metadata, metadata_without_result, normalize_documents, with_candidate_fields,
 )
 
 _SLIM = ("_row", "url", "pos", "child_at", "canonical_url", "content_hash", "title", "published_at", "source_id", "detail_fetch_attempt",
          "detail_extract_success", "metadata_fallback")
-EXTRACTORS = {"fulltext": extract_fulltext, "listing": extract_listing, "metadata": extract_metadata, "index": extract_index}
+EXTRACTORS = {
+    "fulltext": extract_fulltext, "listing": extract_listing, "metadata": extract_metadata, "index": extract_index, "unfetched": metadata_without_result,
+}
 
 
 def canonical_candidates(candidates: DataFrame, pos: str = "pos") -> DataFrame:
@@ -51,11 +53,13 @@ def extract(candidates: DataFrame, results: DataFrame, landed: DataFrame) -> Dat
     """Every page through the extractor that its row asks for.
 
     Candidates and results carry no body. It is joined here, from the landed
-    rows that the results name, and goes straight into the extractor.
+    rows that the results name, and goes straight into the extractor. A
+    candidate without a result is a document of its own metadata.
     """
     fields = results.select("url", "status_code", "fetch_mode", "block_type", "success", "error", "has_body", "landed_at")
     asked = cut_lineage(
-        with_candidate_fields(candidates).join(fields, "url").withColumn("extractor", pick_extractor(F.col("has_body"))).drop("has_body")
+        with_candidate_fields(candidates).join(fields, "url", "left")
+        .withColumn("extractor", F.when(F.col("has_body").isNull(), "unfetched").otherwise(pick_extractor(F.col("has_body")))).drop("has_body")
     )
     bodies = landed.select("url", landed_at().alias("landed_at"), "raw_html")
     joined = asked.join(bodies, ["url", "landed_at"], "left").drop("landed_at")

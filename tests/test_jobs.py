@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glimmerline.operators import dedup
 from glimmerline.operators.health import anti_bot_scores, discovery_report
 from glimmerline.plans import reads
+from glimmerline.plans.ingestion import extract
 from glimmerline.session import scratch_path
 from glimmerline.sources.payloads import last_landed, sitemap_candidates
 from glimmerline.sources.registry import monitor_providers
@@ -114,3 +115,14 @@ def test_drill_downs_are_bounded_and_counted(spark):
     links = spark.createDataFrame([("r", "e1", f"l{k:03d}", f"v{k:03d}") for k in range(50)], "run_id string, event_id string, link_id string, evidence_id string")
     (row,) = reads.event_detail(events, evidence, links, most=7).collect()
     assert [x.evidence_id for x in row.evidence_items] == [f"v{k:03d}" for k in range(7)] and row.link_count == 50
+
+
+def test_candidates_without_a_result_are_metadata_documents(spark):
+    cand = spark.createDataFrame([("https://a.example/x", "A title", "said", "2024-01-02T03:04:05Z")], "url string, title string, snippet string, published_hint string")
+    results = spark.createDataFrame(
+        [], "url string, status_code int, fetch_mode string, block_type string, success boolean, error string, has_body boolean, landed_at struct<ts:timestamp,tie:bigint>"
+    )
+    landed = spark.createDataFrame([], "url string, status_code int, raw_html string, ts timestamp")
+    (row,) = extract(cand, results, landed).collect()
+    assert (row.title, row.summary, row.quality_score, row.notes) == ("A title", "said", 0.2, ["metadata_only_legacy_no_result"])
+    assert str(row.published_at) == "2024-01-02 03:04:05" and row.metadata_fallback
