@@ -187,7 +187,8 @@ def _finder(length: int, batch_bytes: int = 1 << 19):
 def _repeats(texts: DataFrame, length: int, grams: tuple[int, ...], most: int) -> DataFrame:
     """Rows (a, b, lo, hi): window starts lo to hi of text (a, b) occur again among all (a, b, n, bytes)."""
     dealt = stored(texts.mapInArrow(_segmenter(length, grams[0]), "a long, b long, n long, lo long, hi long, key long, f1 long, f2 long"), "segments")
-    again = dealt.groupBy("key").agg(F.sum("n").alias("of_key")).filter("of_key > 1").select("key")
+    # written first: a join of two plain shuffles lets Spark split the rows of a key that very many segments share
+    again = stored(dealt.groupBy("key").agg(F.sum("n").alias("of_key")).filter("of_key > 1").select("key"), "again")
     shared = stored(dealt.join(again, "key"), "shared")
     unlike = shared.groupBy("key", "f1", "f2").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "lo", "hi")).alias("at"))
     counts = unlike.groupBy("key").agg(F.count("*").alias("texts"))
