@@ -37,15 +37,17 @@ def search_discovery(
 
 
 def social_batches(
-    sources: DataFrame, payloads: DataFrame, comments: DataFrame, max_comments: int | None = None, comment_chars: int | None = None
+    sources: DataFrame, payloads: DataFrame, comments: DataFrame, max_comments: int | None = None, comment_chars: int | None = None,
+    per_source: bool = False,
 ) -> dict[str, DataFrame]:
     """Records, fallback records and health of the enabled social sources.
 
     `payloads(source_id, source_type, platform, form, item, body, error)` are
     landed responses; `comments(external_id, at, author, body, failed)` the
     landed comment rows. Items whose enrichment failed fall back to what
-    discovery knows when the source allows it. A source's `max_items`, where it
-    names one, bounds its items; comments are whole and all unless bounded here.
+    discovery knows when the source allows it. All items count, unless
+    `per_source` holds them to their source's `max_items`; comments are whole
+    and all unless bounded here.
     """
     live = sources.filter("enabled")
     mine = payloads.join(live.select("source_id"), "source_id", "left_semi")
@@ -56,8 +58,7 @@ def social_batches(
         .unionByName(hn_item_candidates(ok.filter("platform = 'hackernews' and form = 'item'")))
     )
     known = found.join(live.select("source_id", "max_items", "trust_tier", "include_comments", "metadata_fallback", "priority"), "source_id")
-    capped = top_n_per(known.filter("max_items is not null"), ["source_id"], ["item"], F.greatest(F.lit(1), "max_items"))
-    found = cut_lineage(known.filter("max_items is null").unionByName(capped))
+    found = cut_lineage(top_n_per(known, ["source_id"], ["item"], F.greatest(F.lit(1), "max_items")) if per_source else known)
     failed = comments.filter("failed").select("external_id").distinct().withColumn("_failed", F.lit(True))
     marked = found.join(failed, "external_id", "left").withColumn("_failed", F.coalesce("_failed", F.lit(False)))
     good = comments.filter("not failed")
