@@ -262,23 +262,17 @@ def identify(docs: DataFrame, tagger: Tagger | None, doc_id: str = "doc_id", tex
     return tagged.select(F.col("id").alias(doc_id), F.col("lang").alias("lang_pred"), "score")
 
 
-def least_scores(labelled: DataFrame, tagger: Tagger, quantile: float = 0.005, docs_per_language: int = 2000, fewest: int = 20) -> dict[str, float]:
+def least_scores(labelled: DataFrame, tagger: Tagger, quantile: float = 0.005, fewest: int = 20) -> dict[str, float]:
     """Per class the score that all but `quantile` of the documents reach that are tagged as labelled.
 
-    Rows are (id, text, lang), not among those trained on; about
-    `docs_per_language` of each language are drawn by a hash of the id. A class
+    Rows are (id, text, lang), not among those trained on; all of them count. A class
     with fewer than 1 / `quantile` such documents has the value of all classes
     together. If those are fewer too, the lowest score stands for a larger share
     than asked, so its distance from 1 is widened by the root of the ratio;
     with less than `fewest` no score is too low.
     """
     usable = labelled.filter("lang is not null and text is not null and id is not null").filter(F.col("lang").isin(tagger.classes))
-    counts = usable.groupBy("lang").count().collect()
-    if not counts:
-        return dict.fromkeys(tagger.classes, 0.0)
-    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], docs_per_language / r["count"])]), F.col("lang"))
-    drawn = usable.filter((F.xxhash64("id", F.lit("scores")) / 2.0**64 + 0.5) < share)
-    right = identify(drawn.select(F.struct("lang").alias("id"), "text"), tagger, "id").filter("lang_pred = id.lang")
+    right = identify(usable.select(F.struct("lang").alias("id"), "text"), tagger, "id").filter("lang_pred = id.lang")
     rows = right.rollup("lang_pred").agg(F.count("*").alias("n"), F.percentile_approx("score", F.lit(quantile), F.lit(100_000)).alias("least")).collect()
     found = {r.lang_pred: (r.n, r.least) for r in rows}
     n, least = found.get(None, (0, None))

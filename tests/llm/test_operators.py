@@ -327,3 +327,21 @@ def test_packed(docs, empty):
         assert at <= 1024 and (at == 1024 or at & (at - 1) == 0)
     assert sum(r.length for r in rows if r.doc_id == 3) == 1 and sum(r.length for r in rows if r.doc_id == 6) == rows[[r.doc_id for r in rows].index(6)].doc_tokens
     assert packing.packed(empty).count() == 0
+
+
+def test_least_scores_read_all_rows(spark, monkeypatch):
+    """Bounds come from every held-out document, however many a language has."""
+    from pyspark.sql import functions as F
+
+    from glimmerline.llm import language
+
+    read = []
+
+    def identify(docs, tagger, doc_id="doc_id", text="text"):
+        read.append(docs.count())
+        return docs.select(doc_id, F.col("id.lang").alias("lang_pred"), F.col("text").cast("double").alias("score"))
+
+    monkeypatch.setattr(language, "identify", identify)
+    rows = spark.range(6000).select("id", ((F.col("id") + 1) / 6000).cast("string").alias("text"), F.lit("en").alias("lang"))
+    least = language.least_scores(rows, language.Tagger.fresh(["en"], 2, 1), quantile=0.005)
+    assert read == [6000] and abs(least["en"] - 0.005) < 1e-9
