@@ -22,8 +22,9 @@ from ..sources.registry import (
 )
 from ..sources.search import (
     build_queries, common_candidates, fetch_plans, guess_origin, merge_results, planned_searches, provider_evidence, route_candidates,
-    score_candidates, trace_payload,
+    score_candidates, trace_payload, with_canonical,
 )
+from ..session import cut_lineage
 from ..sources.social import comment_lines, social_health, social_records, with_comments
 from .base import big, joined, query, table, text_of
 
@@ -429,6 +430,7 @@ def search_results_query(spark, folder):
 
 def _candidates(spark, folder) -> tuple[DataFrame, DataFrame]:
     r = search_results(_search_payloads(spark, folder)).withColumn("pos", F.regexp_extract("title", r"(\d+)$", 1).cast("bigint"))
+    r = cut_lineage(with_canonical(r))  # read by three branches
     domains = spark.range(1).select(F.lit("official.example").alias("domain"))
     scored = score_candidates(guess_origin(merge_results(r), domains), F.lit("1998-08-02").cast("timestamp"), "30d")
     return route_candidates(scored), r

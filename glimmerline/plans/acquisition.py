@@ -9,7 +9,7 @@ from ..session import cut_lineage
 from ..sources.payloads import hn_item_candidates, hn_search_candidates, reddit_candidates, search_results
 from ..sources.registry import monitor_providers
 from ..sources.search import (
-    build_queries, guess_origin, merge_results, planned_searches, route_candidates, score_candidates, top_candidates,
+    build_queries, guess_origin, merge_results, planned_searches, route_candidates, score_candidates, top_candidates, with_canonical,
 )
 from ..sources.social import comment_lines, social_health, social_records, with_comments
 
@@ -29,7 +29,7 @@ def search_discovery(
     )
     # arrival order: monitor, provider, query, rank
     results = cut_lineage(
-        results.withColumn("pos", F.struct("monitor_id", "provider_id", "template_at", "text_at", "rank"))
+        with_canonical(results.withColumn("pos", F.struct("monitor_id", "provider_id", "template_at", "text_at", "rank")))
     )
     merged = merge_results(results)
     scored = score_candidates(guess_origin(merged, domains), now, window)

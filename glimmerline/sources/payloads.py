@@ -12,6 +12,7 @@ from ..functions.dates import from_epoch, parse_feed_date, parse_iso
 from ..functions.text import strip_ends
 from ..functions.vocab import HN_ITEM_PAGE, REDDIT_ROOT
 from ..operators.dedup import keep_first
+from ..operators.unions import explode_computed
 from ..session import cut_lineage
 
 _GUID = "struct<_VALUE:string,_isPermaLink:string>"
@@ -54,9 +55,8 @@ def feed_entries(payloads: DataFrame, body: str = "body") -> DataFrame:
         ),
     )
     items = F.coalesce(rss_items, atom_items)
-    return payloads.select(*[c for c in payloads.columns if c != body], F.posexplode(items).alias("item", "e")).select(
-        *[c for c in payloads.columns if c != body], "item", "e.*"
-    )
+    keep = [c for c in payloads.columns if c != body]
+    return explode_computed(payloads.select(*keep, items.alias("_items")), keep, "_items", "item", "e").select(*keep, "item", "e.*")
 
 
 def feed_candidates(payloads: DataFrame, max_items: int | Column | None = None) -> DataFrame:
@@ -118,8 +118,9 @@ def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int
             break
         now = hit.select("source_id", "sitemap_url")
         seen = now if seen is None else cut_lineage(seen.unionByName(now))
-        pages = hit.filter(~is_index).select(
-            "source_id", "sitemap_url", "trail", F.posexplode(_xml(F.col("body"), SITEMAP)["url"]).alias("item", "u")
+        here = ["source_id", "sitemap_url", "trail"]
+        pages = explode_computed(
+            hit.filter(~is_index).select(*here, _xml(F.col("body"), SITEMAP)["url"].alias("_urls")), here, "_urls", "item", "u"
         )
         parts.append(
             pages.filter((F.lit(True) if max_items is None else F.col("item") < max_items) & (F.coalesce(F.col("u.loc"), F.lit("")) != "")).select(
@@ -127,8 +128,9 @@ def sitemap_candidates(requests: DataFrame, sitemaps: DataFrame, max_items: int
                 F.col("u.loc").alias("url"), (80 - F.col("item")).alias("priority"), F.col("u.lastmod").alias("lastmod"),
             )
         )
-        frontier = hit.filter(is_index).select(
-            "source_id", F.posexplode(_xml(F.col("body"), SITEMAP_INDEX)["sitemap"]).alias("at", "s"), "trail"
+        frontier = explode_computed(
+            hit.filter(is_index).select("source_id", "trail", _xml(F.col("body"), SITEMAP_INDEX)["sitemap"].alias("_maps")),
+            ["source_id", "trail"], "_maps", "at", "s",
         ).select("source_id", F.col("s.loc").alias("sitemap_url"), F.concat("trail", F.array("at")).alias("trail")).filter(
             F.coalesce("sitemap_url", F.lit("")) != ""
         )
@@ -158,9 +160,8 @@ def rest_candidates(payloads: DataFrame, max_items: int | Column | None = None)
         .when(F.ltrim("body").startswith("["), F.col("body"))
         .otherwise(usual)
     )
-    rows = stage.withColumn("_rows", F.from_json(items, "array<string>")).select(
-        *[c for c in payloads.columns if c != "body"], F.posexplode("_rows").alias("item", "row")
-    ).filter((F.lit(True) if max_items is None else F.col("item") < max_items) & F.ltrim("row").startswith("{"))
+    keep = [c for c in payloads.columns if c != "body"]
+    rows = explode_computed(stage.withColumn("_rows", F.from_json(items, "array<string>")), keep, "_rows", "item", "row").filter((F.lit(True) if max_items is None else F.col("item") < max_items) & F.ltrim("row").startswith("{"))
 
     def field(name: str) -> Column:
         key = F.coalesce(F.col("field_map")[name], F.lit(name))
@@ -193,10 +194,10 @@ def reddit_candidates(payloads: DataFrame) -> DataFrame:
     listing = F.when(
         body.startswith("["), F.get(F.from_json("body", f"array<{_LISTING}>"), F.lit(0))
     ).otherwise(F.from_json("body", _LISTING))
-    rows = payloads.withColumn("_l", listing).select(
-        "source_id", "source_type", F.col("_l.data.after").alias("cursor_after"),
-        F.posexplode("_l.data.children").alias("item", "c"),
-    ).filter((F.col("c.kind") == "t3") & (F.coalesce(F.col("c.data.id"), F.lit("")) != ""))
+    parsed = payloads.select("source_id", "source_type", listing.alias("_l")).select(
+        "source_id", "source_type", F.col("_l.data.after").alias("cursor_after"), F.col("_l.data.children").alias("_posts")
+    )
+    rows = explode_computed(parsed, ["source_id", "source_type", "cursor_after"], "_posts", "item", "c").filter((F.col("c.kind") == "t3") & (F.coalesce(F.col("c.data.id"), F.lit("")) != ""))
     d = F.col("c.data")
     link = F.coalesce(d["permalink"], F.lit(""))
     return rows.select(
@@ -228,9 +229,8 @@ def _hn(df: DataFrame, hid: Column, d: Column, author: str, time: str, points: s
 
 def hn_search_candidates(payloads: DataFrame) -> DataFrame:
     """Search hits."""
-    rows = payloads.select(
-        "source_id", "source_type", F.posexplode(F.from_json("body", f"struct<hits:array<{_HIT}>>")["hits"]).alias("item", "d")
-    )
+    hits = payloads.select("source_id", "source_type", F.from_json("body", f"struct<hits:array<{_HIT}>>")["hits"].alias("_hits"))
+    rows = explode_computed(hits, ["source_id", "source_type"], "_hits", "item", "d")
     hid = F.coalesce(F.col("d.objectID").try_cast("bigint"), F.lit(0)).cast("string")
     return _hn(rows, hid, F.col("d"), "author", "created_at_i", "points", "num_comments", F.lit(""))
 
@@ -255,7 +255,7 @@ def search_results(payloads: DataFrame) -> DataFrame:
         v = F.from_json("body", schema)
         for part in path.split("."):
             v = v[part]
-        out = payloads.filter(F.col("provider") == kind).select(*keep, F.posexplode(v).alias("at", "r"))
+        out = explode_computed(payloads.filter(F.col("provider") == kind).select(*keep, v.alias("_hits")), keep, "_hits", "at", "r")
         return out.select(
             *keep, (F.col("at") + 1).alias("rank"), F.col("r.url").alias("url"), F.col("r.title").alias("title"),
             F.col(f"r.{snippet}").alias("snippet"),

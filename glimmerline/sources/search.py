@@ -51,6 +51,11 @@ def planned_searches(queries: DataFrame, monitor_providers: DataFrame) -> DataFr
 
 
 # --- A1 -----------------------------------------------------------------------------------
+def with_canonical(results: DataFrame) -> DataFrame:
+    """Result rows with their `canonical_url`; results that several steps read carry it already."""
+    return results if "canonical_url" in results.columns else results.withColumn("canonical_url", urls.canonical_url(F.col("url")))
+
+
 def merge_results(results: DataFrame) -> DataFrame:
     """A1: result rows with a `pos` order to one candidate per canonical url.
 
@@ -59,7 +64,7 @@ def merge_results(results: DataFrame) -> DataFrame:
     """
     from ..operators.unions import ordered_unions
 
-    rows = results.withColumn("canonical_url", urls.canonical_url(F.col("url")))
+    rows = with_canonical(results)
     head = rows.groupBy("canonical_url").agg(
         F.min_by(F.struct("url", "title", "snippet"), "pos").alias("h"), F.max("published_hint").alias("published_hint"),
         F.min("pos").alias("pos"), F.count("*").alias("evidence_count"),
@@ -77,9 +82,8 @@ def merge_results(results: DataFrame) -> DataFrame:
 
 def provider_evidence(results: DataFrame) -> DataFrame:
     """A1: the evidence rows behind the candidates, kept as rows."""
-    canonical = urls.canonical_url(F.col("url"))
-    return results.select(
-        F.concat(F.lit("search:"), short_hash(canonical, 20)).alias("candidate_id"), "pos",
+    return with_canonical(results).select(
+        F.concat(F.lit("search:"), short_hash(F.col("canonical_url"), 20)).alias("candidate_id"), "pos",
         F.col("provider_id").alias("provider"), "rank", "title", "snippet",
     )
 
