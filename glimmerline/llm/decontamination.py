@@ -16,7 +16,7 @@ from itertools import repeat
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .words import once
+from .words import once, some_rows
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 HITS = T.ArrayType(T.LongType())
@@ -81,7 +81,7 @@ def _scanner(shared, token: str, size: int, last: bool):
         import pyarrow as pa
 
         numbers, automaton = once(token, lambda: build_automaton(shared.value, size))
-        for batch in batches:
+        for batch in some_rows(batches):
             texts = batch.column(1).to_pylist()
             counts, n_hit, hits, items, spans = [], [], [], [], []
             for text, before, had in zip(texts, batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):

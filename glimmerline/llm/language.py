@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .tables import with_type_of
-from .words import LETTERS, Block, as_bytes, blocks, once
+from .words import LETTERS, Block, as_bytes, blocks, once, some_rows
 
 LONGEST = 40  # longer runs of letters are cut; each piece is a word of its own
 UNDETERMINED = "und"
@@ -165,7 +165,7 @@ class Pool:
         length = block.length[some]
         for size in np.unique(length):
             where = np.flatnonzero(length == size)
-            for part in np.array_split(where, -(-len(where) // 4096)):
+            for part in np.array_split(where, -(-len(where) // 1024)):
                 data = np.zeros((len(part), size + 2), np.uint8)
                 data[:, 1:-1] = block.data[block.start[some[part]][:, None] + np.arange(size)]
                 out[part] = self.tagger.label(data)[1].sum(0)
@@ -194,7 +194,7 @@ def _tagging(shared, token: str):
         import pyarrow as pa
 
         pool = once(token, lambda: Pool(Tagger.of(*shared.value)))
-        for batch in batches:
+        for batch in some_rows(batches):
             probs = pool.documents(as_bytes(batch.column(1)))
             lettered = np.asarray(batch.column(2).to_pylist(), bool) & (probs.sum(1) > 0)
             best = probs.argmax(1)

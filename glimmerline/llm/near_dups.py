@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.components import connected_components
 from .tables import stored, with_type_of
-from .words import BLANKS, as_bytes, hashed_words, mix, shingles
+from .words import BLANKS, as_bytes, hashed_words, mix, shingles, some_rows
 
 HASH_BITS = 48
 ZERO_BITS, MANTISSA_BITS = 6, 10
@@ -102,7 +102,7 @@ def _sketcher(width: int, rows: int, bands: int):
     def sketch(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in some_rows(batches):
             sizes, one, two, sketches, keys = [], [], [], [], []
             for _, words in hashed_words(as_bytes(batch.column(1)), BLANKS):
                 hashes = shingles(words, width)
@@ -154,7 +154,7 @@ def _linked(width: int, threshold: int):
     def keep(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in some_rows(batches):
             texts = [t for pair in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True) for t in pair]
             sets = (shingles(words, width) for _, words in hashed_words(texts, BLANKS))
             sure = []
@@ -255,7 +255,7 @@ def _set_rows(width: int):
     def make(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in some_rows(batches):
             sets = [shingles(words, width).astype(np.int64) for _, words in hashed_words(as_bytes(batch.column(1)), BLANKS)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "keys"]

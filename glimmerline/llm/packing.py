@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .tables import with_type_of
-from .words import once
+from .words import once, some_rows
 
 END_ID = 0
 _BEFORE_WORD = re.compile(r"(?= \S)").split
@@ -158,7 +158,7 @@ def _cutter(path: str, room: int, groups: int, with_ids: bool):
         tokenizer = once(path, lambda: Tokenizer(path))
         names = ["id", "start", "length", "ids", "crc", "doc_tokens", "grp", "mixed"]
         kinds = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for batch in some_rows(batches):
             rows: list[list] = [[] for _ in names]
             for k, (text, key) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 ids = tokenizer.ids(text or "") + END_ID.to_bytes(4, "little")

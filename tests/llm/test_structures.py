@@ -196,3 +196,26 @@ def test_ends_of_a_hot_node(spark):
     ends = ends.selectExpr("conv", "cast(d1 AS long) AS d1", "cast(d2 AS long) AS d2").repartition(6)
     (row,) = prefix_trie.end_digests(ends).collect()
     assert row.ends_sha256 == hashlib.sha256(",".join(map(str, range(30_000))).encode()).hexdigest()
+
+
+def test_words_are_hashed_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from glimmerline.llm import words
+
+    texts = [b"word%d " % k * 3 for k in range(100_000)] + [b"x" * 600_000, None, b"ab"]
+    block = next(words.blocks(texts, words.BLANKS, 1 << 22))
+    tracemalloc.start()
+    whole = block.hashes()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # one pass over all bytes held ten arrays of 8 bytes a byte
+    some = [0, 1, len(whole) // 2, len(whole) - 2, len(whole) - 1]
+    alone = [words.Block(block.data, block.row[[k]], block.start[[k]], block.length[[k]]).hashes()[0] for k in some]
+    assert [whole[k] for k in some] == alone
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4500))], ["id"])
+    parts = [*words.some_rows([batch, batch.slice(0, 0)])]
+    assert [p.num_rows for p in parts] == [2000, 2000, 500]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [*range(4500)]
