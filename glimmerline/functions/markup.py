@@ -96,15 +96,17 @@ PUBLISHED_METAS = (
 def with_html_dates(df: DataFrame, html: str = "html") -> DataFrame:
     """T-D3: adds html_published, html_updated, date_fields and date_notes."""
     h = F.coalesce(F.col(html), F.lit(""))
-    metas = {label: meta_content(h, attr, name) for label, attr, name in PUBLISHED_METAS}
-    step = df.withColumns(
+    # a name that the lower-cased page lacks is in no tag of it, which spares most pages most of the patterns
+    meta = lambda attr, name: F.when(F.contains(F.col("_low"), F.lit(name)), meta_content(h, attr, name))
+    metas = {label: meta(attr, name) for label, attr, name in PUBLISHED_METAS}
+    step = df.withColumn("_low", F.lower(h)).withColumns(
         {
             **{f"_m{i}": metas[label] for i, (label, _, _) in enumerate(PUBLISHED_METAS)},
             "_ld": F.when(h.contains("ld+json"), ld_dates(h)),
             "_time": _first_date(F.transform(F.regexp_extract_all(h, F.lit(TIME_TAG), F.lit(1)), lambda x: F.trim(x))),
-            "_mod": meta_content(h, "property", "article:modified_time"),
-            "_ogu": meta_content(h, "property", "og:updated_time"),
-            "_last": meta_content(h, "name", "lastmod"),
+            "_mod": meta("property", "article:modified_time"),
+            "_ogu": meta("property", "og:updated_time"),
+            "_last": meta("name", "lastmod"),
         }
     )
     step = step.withColumns(
@@ -159,7 +161,7 @@ def with_html_dates(df: DataFrame, html: str = "html") -> DataFrame:
             "date_notes": notes,
         }
     )
-    return out.drop("_ld", "_time", "_mod", "_ogu", "_last", "_tmod", "_togu", "_tlast",
+    return out.drop("_low", "_ld", "_time", "_mod", "_ogu", "_last", "_tmod", "_togu", "_tlast",
                     *[f"_m{i}" for i in range(3)], *[f"_t{i}" for i in range(3)])
 
 

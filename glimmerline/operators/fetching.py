@@ -179,7 +179,7 @@ def gather_results(planned: DataFrame, landed: DataFrame) -> DataFrame:
 
 
 def has_body(html: Column) -> Column:
-    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?U)\s+", "") != ""
+    return F.coalesce(html, F.lit("")).rlike(r"(?U)\S")  # ends at the first character
 
 
 def pick_extractor(body: Column | None = None) -> Column:

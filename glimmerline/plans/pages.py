@@ -219,7 +219,7 @@ def extract_fulltext(pages: DataFrame) -> DataFrame:
     df = df.withColumns(
         {
             "_title_pub": parse_title_date(F.col("doc_title")),
-            "_text_pub": parse_changelog_date(F.col("_clean")),
+            "_text_pub": parse_changelog_date(F.col("_clean"), one_line=True),
         }
     )
     df = with_page_class(df, "raw_html", "url", F.col("doc_title"), F.col("block_type"), F.col("_sum"))

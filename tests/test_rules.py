@@ -276,3 +276,19 @@ def test_no_findings_no_briefs(spark):
     f = spark.createDataFrame([], FINDING)
     records = finding_records(f, build_signals(f, [F.col("k")]))
     assert build_recommendations(records).count() == 0 and build_briefs(records, build_recommendations(records)).count() == 0
+
+
+def test_page_rules_skip_what_a_page_lacks(spark):
+    from glimmerline.functions import dates
+    from glimmerline.operators.fetching import has_body
+
+    rows = [(0, " \n\t  "), (1, "<META property='article:published_time' content='2024-03-05'>"), (2, None), (3, "x" * 50), (4, "March 5, 2024 - news")]
+    df = spark.createDataFrame(rows, "k int, html string")
+    got = markup.with_html_dates(df.withColumn("body", has_body(F.col("html")))).orderBy("k").collect()
+    assert [r.body for r in got] == [False, True, False, True, True]
+    assert [str(r.html_published) if r.html_published else None for r in got] == [None, "2024-03-05 00:00:00", None, None, None]
+    plan = df.select(has_body(F.col("html")).alias("b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # a test ends at the first character, a replacement reads all
+    log = [dates.parse_changelog_date(F.col("html"), one_line=one) for one in (True, False)]
+    assert all(a == b for a, b in df.select(log[0].alias("a"), log[1].alias("b")).collect())
+    assert "split(" not in df.select(log[0].alias("d"))._jdf.queryExecution().optimizedPlan().toString()
