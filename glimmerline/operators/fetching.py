@@ -157,18 +157,24 @@ def landed_at() -> Column:
     return F.struct("ts", F.xxhash64("status_code", "raw_html").alias("tie"))
 
 
-def gather_results(planned: DataFrame, landed: DataFrame) -> DataFrame:
+def last_results(landed: DataFrame) -> DataFrame:
+    """Verdict, address (`landed_at`) and whether there is a body of the last landed row of each url, without the body."""
+    slim = landed.select(
+        "url", "final_url", "status_code", "content_type", "headers", "error", landed_at().alias("landed_at"), has_body(F.col("raw_html")).alias("has_body"),
+        fetch_verdict(F.col("status_code"), F.col("headers"), F.col("content_type"), F.col("raw_html")).alias("_v"),
+    )
+    return keep_last(slim, ["url"], ["landed_at"])
+
+
+def gather_results(planned: DataFrame, landed: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """One classified result per planned url; the last landed one counts.
 
     Bodies are read where they lie: the verdict, and whether there is a body,
     are columns of the landed row. Only these and the row's address (`landed_at`)
-    are grouped and joined.
+    are grouped and joined. `last` are the `last_results` of `landed`, if they
+    are at hand.
     """
-    slim = landed.select(
-        "url", "final_url", "status_code", "content_type", "headers", "error", landed_at().alias("landed_at"), has_body(F.col("raw_html")).alias("has_body"),
-        fetch_verdict(F.col("status_code"), F.col("headers"), F.col("content_type"), F.col("raw_html")).alias("_v"),
-    )
-    last = keep_last(slim, ["url"], ["landed_at"])
+    last = last_results(landed) if last is None else last
     fetched = planned.filter(~F.col("mode").isin("metadata_only", "skip")).select(
         "source_id", "company", "url", F.col("mode").alias("fetch_mode")
     ).join(last, "url", "left")

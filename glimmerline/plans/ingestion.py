@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
 from ..operators.dedup import document_keys, greedy_dedup, keep_first
-from ..operators.fetching import gather_results, landed_at, pick_extractor, plan_access
+from ..operators.fetching import gather_results, landed_at, last_results, pick_extractor, plan_access
 from ..operators.health import document_health, run_stats, source_health
 from ..operators.ordering import top_n, with_positions
 from ..session import cut_lineage, written
@@ -68,21 +69,41 @@ def extract(candidates: DataFrame, results: DataFrame, landed: DataFrame) -> Dat
     )
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """What runs over the same candidates and landed responses share: candidates, item pages of their seeds, and last results."""
+
+    first: DataFrame
+    children: DataFrame
+    last: DataFrame
+
+
+def prepare(candidates: DataFrame, landed: DataFrame, max_child_links: int | None = None) -> Prepared:
+    """The steps of `ingest` that depend neither on health nor on what becomes of the seeds, done once."""
+    first = cut_lineage(canonical_candidates(with_candidate_fields(candidates)))
+    children = cut_lineage(expand_listings(first.filter(is_seed()), landed, max_child_links))
+    return Prepared(first, children, cut_lineage(last_results(landed)))
+
+
 def ingest(
     candidates: DataFrame, landed: DataFrame, now: Column, health: DataFrame | None = None,
-    max_candidates: int | None = None, max_child_links: int | None = None, keep_seeds: bool = False,
+    max_candidates: int | None = None, max_child_links: int | None = None, keep_seeds: bool = False, prepared: Prepared | None = None,
 ) -> dict[str, DataFrame]:
     """Candidates (with `pos`) and landed responses to documents, attempts, health and counts.
 
     `health` is the source health that an earlier run returned; it steers the
     access plans and is carried on. Seeds give way to their children (D3), or
-    stay before them if `keep_seeds` (D5).
+    stay before them if `keep_seeds` (D5). Several runs over the same
+    candidates and responses share what `prepare` returns.
     """
-    first = cut_lineage(canonical_candidates(with_candidate_fields(candidates)))
-    children = expand_listings(first.filter(is_seed()), landed, max_child_links)
+    if prepared is None:
+        first = cut_lineage(canonical_candidates(with_candidate_fields(candidates)))
+        children, last = expand_listings(first.filter(is_seed()), landed, max_child_links), None
+    else:
+        first, children, last = prepared.first, prepared.children, prepared.last
     wanted = cut_lineage(with_children(first, children, max_candidates) if keep_seeds else replace_seeds(first, children, max_candidates))
     planned = plan_access(wanted.drop("anti_bot_score"), health)
-    results = cut_lineage(gather_results(planned, landed))
+    results = cut_lineage(gather_results(planned, landed, last))
     extracted = extract(wanted, results, landed)
     about = wanted.select("url", "source_type", "hint_doc_type", "pos", "child_at").join(
         results.select("url", "status_code", "fetch_mode", "block_type"), "url"

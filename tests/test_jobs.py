@@ -169,3 +169,13 @@ def test_values_of_unions_carry_a_number_for_their_list(spark):
     tags = rows.select(F.explode(unions._tags({"first_list": F.col("first_list")})).alias("t")).select("t.list")
     assert tags.dtypes == [("list", "tinyint")]
     assert out.first().asDict() == {"k": "k", "first_list": ["a", "b"], "second_list": ["y", "x"]}
+
+
+def test_seeded_runs_prepare_their_pages_once(spark, monkeypatch):
+    from glimmerline.catalog import web
+
+    made, used = [], []
+    monkeypatch.setattr(web, "prepare", lambda *a: made.append(a) or "same", raising=False)
+    monkeypatch.setattr(web, "ingest", lambda *a, **k: used.append(k.get("prepared")) or {"source_health": None})
+    web.seeded_runs(spark, "/root/testdata/sf0.001")
+    assert len(made) == 1 and used == ["same"] * 3
