@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -289,6 +290,35 @@ def test_search_against_all_scores(spark, empty):
     assert search.top_documents(empty, empty).count() == 0
 
 
+def test_queries_of_a_block_share_products_of_frequent_terms(spark, monkeypatch):
+    """Scores equal the sums of rounded parts though most of them come from a matrix of single precision."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.4, 80) if k < 3000) for _ in range(600)]
+    texts += [f"{texts[7]} tie{k % 2}" for k in range(40)]  # differ by nothing or by one word that two queries weigh
+    touched, ranges = [], search._ranges
+    monkeypatch.setattr(search, "_ranges", lambda start, size: touched.append(int(size.sum())) or ranges(start, size))
+    batch = pa.RecordBatch.from_pydict({"id": range(len(texts)), "text": texts})
+    row = next(search._indexer(iter([batch]))).to_pylist()[0]
+    shard = search.Shard.read(row, 80.0)
+    term, doc, count, _ = search._postings([t.encode() for t in texts])
+    order = np.lexsort((term, doc))
+    df = dict(zip(shard.terms.tolist(), shard.df.tolist(), strict=True))
+    weight = np.array([1e6 * c * np.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) for t, c in zip(term.tolist(), count.tolist(), strict=True)])
+    cuts = np.searchsorted(doc[order], np.arange(len(texts) + 1))
+    asked = search.Asked.read(np.arange(len(texts)), term[order], weight[order], cuts)
+    got = {q: (score.tolist(), ids.tolist()) for q, score, ids in shard.search(asked, np.zeros(len(texts)), 5)}
+    adds = sum(df[t] for t in term.tolist())
+    assert sum(touched) < adds / 3
+    for q in range(len(texts)):
+        score = np.zeros(len(texts))
+        for t, w in zip(term[order][cuts[q] : cuts[q + 1]].tolist(), weight[order][cuts[q] : cuts[q + 1]].tolist(), strict=True):
+            at = int(np.searchsorted(shard.terms, np.uint64(t)))
+            some = slice(shard.first[at], shard.first[at] + shard.df[at])
+            score[shard.doc[some]] += np.rint(w * shard.gain[some])
+        best = np.lexsort((np.arange(len(texts)), -score))[:5]
+        assert got[q] == (score[best].astype(int).tolist(), best.tolist())
+
+
 @given(st.lists(st.integers(1, 63), min_size=1, max_size=60))
 def test_packing_fills_all_but_powers_of_two(lengths):
     bins = packing.first_fit_decreasing(lengths, 64)
