@@ -19,7 +19,7 @@ from ..operators.unions import explode_computed
 # --- fixed values: anchor and entry patterns --------------------------------------------
 ANCHOR = r"""(?is)<a\s+[^>]*href\s*=\s*(['"])(.*?)\1[^>]*>(.*?)</a>"""
 HREF_IN_ANCHOR = r"""(?is)<a\s+[^>]*href\s*=\s*(['"])(.*?)\1"""
-HREF_WITH_TAIL = r"""(?is)(?=(.{0,400}))href\s*=\s*(["'])([^"']+)\2"""
+HREF_WITH_TAIL = r"""(?is)(?=href)(?=(.{0,400}))href\s*=\s*(["'])([^"']+)\2"""
 _DATE = rf"(?:{MONTHS})[a-z]*\s+\d{{1,2}},\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}"
 DATED_ENTRY = rf"(?iU)({_DATE})\s*[:\-–]\s*([^\n]{{8,200}})"
 LEADING_DATE = rf"(?iU)^({_DATE})\b"

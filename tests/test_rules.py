@@ -292,3 +292,32 @@ def test_page_rules_skip_what_a_page_lacks(spark):
     log = [dates.parse_changelog_date(F.col("html"), one_line=one) for one in (True, False)]
     assert all(a == b for a, b in df.select(log[0].alias("a"), log[1].alias("b")).collect())
     assert "split(" not in df.select(log[0].alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tails_of_links_are_read_where_links_are(spark):
+    """The 400 characters that follow a link: as the plain rule reads them, and not looked up at every character of a page."""
+    import random
+    import re
+    import time
+
+    from glimmerline.plans.pages import HREF_WITH_TAIL
+
+    r = random.Random(4)
+    parts = ["<a ", "href=", "HREF = ", "'", '"', "/changelog/1", "hhref", "href", "\n", "x" * 30, ">Release<", " href='#'", "ſ"]
+    pages = ["".join(r.choice(parts) for _ in range(r.randint(0, 80))) for _ in range(60)]
+    plain = re.compile(r"""(?is)(?=(.{0,400}))href\s*=\s*(["'])([^"']+)\2""")
+    groups = F.struct(*[F.regexp_extract_all("html", F.lit(HREF_WITH_TAIL), F.lit(g)).alias(f"g{g}") for g in (1, 3)])
+    rows = spark.createDataFrame([(p,) for p in pages], "html string").select("html", groups.alias("g")).collect()
+    for row in rows:
+        want = [(m[1], m[3]) for m in plain.finditer(row.html)]
+        assert list(zip(row.g.g1, row.g.g3, strict=True)) == want
+    large = spark.range(1).select(F.repeat(F.lit("no link here. "), 500_000).alias("html"))
+
+    def seconds(pattern):
+        start = time.perf_counter()
+        assert large.select(F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(0)))).first()[0] == 0
+        return time.perf_counter() - start
+
+    seconds("href")
+    assert seconds(HREF_WITH_TAIL) < 20 * seconds("href") + 1
+
