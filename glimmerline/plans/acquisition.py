@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ordering import top_n_per
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 from ..sources.payloads import hn_item_candidates, hn_search_candidates, reddit_candidates, search_results
 from ..sources.registry import monitor_providers
 from ..sources.search import (
@@ -28,8 +28,8 @@ def search_discovery(
         plan.select("query_id", "provider_id", "monitor_id", "template_at", "text_at"), ["query_id", "provider_id"]
     )
     # arrival order: monitor, provider, query, rank
-    results = cut_lineage(
-        with_canonical(results.withColumn("pos", F.struct("monitor_id", "provider_id", "template_at", "text_at", "rank")))
+    results = written(
+        with_canonical(results.withColumn("pos", F.struct("monitor_id", "provider_id", "template_at", "text_at", "rank"))), "results"
     )
     merged = merge_results(results)
     scored = score_candidates(guess_origin(merged, domains), now, window)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
 from ..operators.ordering import with_positions
-from ..session import cut_lineage
+from ..session import written
 from ..sources.payloads import document_records, official_records, search_records, union_batches
 from .acquisition import search_discovery, social_batches
 from .discovery import discover
@@ -53,7 +53,7 @@ def official_candidates(given: Official, max_child_links: int | None = None) ->
     found, report = discover(given.sources, given.feeds, given.sitemaps, given.apis, mode=given.mode)
     # `pos` is only an order here, so no global position is needed
     ranked = found.withColumn("pos", F.struct(F.col("priority").isNull(), -F.col("priority"), "source_id", F.col("url").alias("at")))
-    first = cut_lineage(canonical_candidates(with_candidate_fields(ranked)))
+    first = written(canonical_candidates(with_candidate_fields(ranked)), "candidates")
     pages = given.pages.withColumn("url", urls.canonical_url(F.col("url")))
     return with_children(first, expand_listings(first.filter(is_seed()), pages, max_child_links)), report
 
@@ -73,7 +73,7 @@ def collect_sources(official: Official, social: Social, search: Search, now: Col
     if documents is not None:
         channels["documents"] = document_records(documents)
     channels |= {"social": posts["records"], "social_fallback": posts["fallback"], "search": hits}
-    every = cut_lineage(union_batches(**channels))  # the range sort reads its input twice
+    every = written(union_batches(**channels), "channels")  # the range sort reads its input twice
     raw = with_positions(every, ["channel_order", "provider_id", "external_id"], "pos")
     return {"raw": raw, "discovery_report": report, "social_health": posts["health"], "search_errors": errors}
 

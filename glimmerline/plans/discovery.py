@@ -9,7 +9,7 @@ from ..operators.health import discovery_report
 from ..operators.ordering import top_n
 from ..sources.payloads import feed_candidates, last_landed, rest_candidates, sitemap_candidates
 from ..sources.registry import listing_seeds, resolve_transports, stamp_candidates, with_strategy
-from ..session import cut_lineage
+from ..session import cut_lineage, written
 
 _COMMON = ["id", "company", "transport", "turn", "item", "url", "hint_doc_type", "title", "snippet", "date", "published_at"]
 
@@ -55,7 +55,7 @@ def discover(
     found = (
         rss.select(*_COMMON).unionByName(rest.select(*_COMMON)).unionByName(maps.select(*_COMMON)).unionByName(seeds.select(*_COMMON))
     )
-    found = cut_lineage(found)
+    found = written(found, "found")
     got = found.groupBy("id", "turn").agg(F.count("*").alias("found"))
     tried = turns.select("id", "turn", "transport_collection_mode").join(got, ["id", "turn"], "left").na.fill(0, ["found"])
     # the first transport that returned rows ends a fallback chain

@@ -342,3 +342,23 @@ def test_finding_detail_reads_findings_and_trends_once_per_list(spark):
     row = out.first()
     assert row.related_trend.trend_title == "Trend" and row.related_recommendations_count == 1
     assert [e.event_id for e in row.related_events] == ["x1"] and [e.evidence_id for e in row.related_evidence] == ["y1"]
+
+
+def test_positions_keep_a_small_copy_of_wide_rows(spark):
+    """What fixes an order on disk takes a fraction of the rows; positions follow the order over all partitions."""
+    import os
+
+    from glimmerline.session import shared_dir
+
+    def held():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared_dir(spark)) for f in files)
+
+    n = 20_000
+    rows = spark.range(n, numPartitions=5).select(
+        (F.col("id") * 7919 % n).alias("key"), F.concat(F.lit("https://source.example/news/"), F.col("id")).alias("url"), F.lit(None).cast("string").alias("empty"),
+        F.array(F.lit("web_search")).alias("channels"),
+    )
+    before = held()
+    placed = with_positions(rows, ["key"], "pos")
+    assert held() - before < 50 * n
+    assert placed.filter("pos <> key").count() == 0 and placed.count() == n
