@@ -351,7 +351,7 @@ def test_positions_keep_a_small_copy_of_wide_rows(spark):
     from glimmerline.session import shared_dir
 
     def held():
-        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared_dir(spark)) for f in files)
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(shared_dir(spark).removeprefix("file:")) for f in files)
 
     n = 20_000
     rows = spark.range(n, numPartitions=5).select(
@@ -360,5 +360,5 @@ def test_positions_keep_a_small_copy_of_wide_rows(spark):
     )
     before = held()
     placed = with_positions(rows, ["key"], "pos")
-    assert held() - before < 50 * n
+    assert 0 < held() - before < 10 * n
     assert placed.filter("pos <> key").count() == 0 and placed.count() == n
